@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, mixing, quality, secrets, tokencounts, tokenids, warc
+from . import decontam, html_extract, jaccard, linededup, mixing, quality, secrets, tokencounts, tokenids, warc
 from .common import fresh_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -50,6 +50,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path, min_bytes=0)
@@ -60,6 +64,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.round("_weight", 9).alias("weight"))
