@@ -34,9 +34,22 @@ def stored(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     """df written as a table in the shared folder and read back: lineage ends here."""
     path = fresh_path(df.sparkSession, what)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table.stored_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def within(df: DataFrame, most: int) -> bool:
+    """Whether df has at most so many rows; reads no more than it must."""
+    return df.limit(most + 1).count() <= most

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop, stored
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -34,8 +34,12 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: smaller neighbours and the node itself point to the least
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.unionAll(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, now = now, stored(small.unionAll(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop(old)
         mark, last = _fingerprint(now), mark
         if mark == last:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    named = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = stored(named.unionAll(named.select(F.col("root").alias("node"), "root").distinct()), "components")
+    drop(now)
+    return out

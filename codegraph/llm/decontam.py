@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext as V
+from .common import stored, within
 
 WINDOW = 8
 #: A window takes about 100 bytes in the index, so this bounds the broadcast by some 20 MB.
@@ -151,9 +152,9 @@ def _window_rows(docs: DataFrame, text: str, lengths: list[int]) -> DataFrame:
 def _join(docs: DataFrame, text: str, keep: list[str], windows: DataFrame) -> DataFrame:
     """The way for a benchmark too large to broadcast."""
     lengths = sorted(r[0] for r in windows.select(F.size("words")).distinct().collect())  # at most `window` values
-    rowed = docs.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
-    wanted = _window_rows(windows.select(F.monotonically_increasing_id().alias("row"), F.concat_ws(" ", "words").alias("text"), "item_id", F.size("words").alias("size")).select("row", "text"), "text", lengths)
-    items = windows.select(F.monotonically_increasing_id().alias("row"), "item_id", F.size("words").cast("long").alias("length"))
+    rowed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    wanted = _window_rows(windows.select("row", F.concat_ws(" ", "words").alias("text")), "text", lengths)
+    items = windows.select("row", "item_id", F.size("words").cast("long").alias("length"))
     wanted = wanted.join(items, ["row", "length"]).select("length", "h1", "h2", "item_id")
     have = _window_rows(rowed.select(F.col("_row").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text")), "text", lengths)
     found = have.join(wanted, ["length", "h1", "h2"]).groupBy("row").agg(
@@ -175,8 +176,8 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     keep = [*(docs.columns if keep is None else keep)]
     windows = item_windows(items, item_id, item_text, window)
     spark = docs.sparkSession
-    if windows.limit(broadcast_windows + 1).count() > broadcast_windows:
-        return _join(docs, text, keep, windows)
+    if not within(windows, broadcast_windows):
+        return _join(docs, text, keep, stored(windows.withColumn("row", F.monotonically_increasing_id()), "windows"))
     rows = [(r[0], r[1]) for r in windows.collect()]
     return _probe(docs, text, keep, spark.sparkContext.broadcast(WindowIndex(rows)))
 

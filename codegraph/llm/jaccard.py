@@ -11,10 +11,10 @@ link is lost; there are no caps.
 
 Agreement in a part makes candidates.  Copies (equal sets) are one node from
 the start.  In a part's bucket every member is paired with the bucket's leader
-first; each member checks its most frequent leader, and the verified links are
-joined into components.  What is left to compare are members of one bucket in
-different components, all of them, so no pair of a large group of near copies
-is ever expanded.  Those pairs must pass the size bound and the bit sketch:
+first, then with its hub (the member that meets most others), and the verified
+links are joined into components.  What is left to compare are members of one bucket in different components, all of them, so
+the pairs of a large group of near copies are not expanded; buckets with equal
+members count once.  Those pairs must pass the size bound and the bit sketch:
 parity bits whose Hamming distance never exceeds the symmetric difference.
 Survivors are verified on the sets themselves.
 
@@ -38,14 +38,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import stored
+from .common import drop, stored, within
 from .components import components
 
 SHINGLE = 5
 PERCENT = 75
 #: 8 bytes each: the bound of the broadcast list of documents to read again.
 BROADCAST_DOCS = 1_000_000
-_CHUNK = 1 << 19
+_CHUNK = 1 << 18
+_BLOCK = 1 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,7 +135,7 @@ def _emit_parts(text: str, shingle: int, percent: int, targets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
         for batch in batches:
-            for part in V.blocks(batch, text):
+            for part in V.blocks(batch, text, _BLOCK):
                 s = Sets(part.column(text), shingle)
                 lows = bands.upto(int(s.size.max(initial=1)) + 1)
                 # a copy that this task has seen adds nothing
@@ -219,25 +220,32 @@ def _read_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield settle(np.concatenate(keys), np.concatenate(ids))
 
 
-def _emit_sets(text: str, doc_id: str, shingle: int, whole: bool):
-    """Set id and size of every text; with `whole`, the sketch and the sorted shingles too."""
+def _emit_sets(text: str, doc_id: str, shingle: int):
+    """Set id, size and parity sketch of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in V.blocks(batch, text):
+            for part in V.blocks(batch, text, _BLOCK):
                 s = Sets(part.column(text), shingle)
-                own = pa.array(s.id.view(np.int64))
-                if not whole:
-                    yield pa.RecordBatch.from_arrays([part.column(doc_id), own, pa.array(s.size)], names=["doc", "id", "n"])
-                    continue
-                sketches, lists = [], []
-                for i, words in enumerate(sketch_words(s.size).tolist()):
-                    h = np.sort(s.hash[s.at[i] : s.at[i + 1]])
-                    bit = V.mix(h ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * words)
-                    odd = (np.bincount(bit.astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)
-                    sketches.append(np.packbits(odd, bitorder="little").view(np.int64).tolist())
-                    lists.append(h.tobytes())
-                yield pa.RecordBatch.from_arrays([own, pa.array(s.size), pa.array(sketches, pa.list_(pa.int64())), pa.array(lists, pa.binary())], names=["id", "n", "sketch", "shingles"])
+                words = sketch_words(s.size)
+                first = np.concatenate([[0], np.cumsum(words)])
+                bit = (V.mix(s.hash ^ np.uint64(0x2545F4914F6CDD1D)) % (64 * words)[s.owner].astype(np.uint64)).astype(np.int64) + 64 * first[s.owner]
+                odd = (np.bincount(bit, minlength=64 * int(first[-1])) & 1).astype(np.uint8)
+                sketch = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(np.packbits(odd, bitorder="little").view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(doc_id), pa.array(s.id.view(np.int64)), pa.array(s.size), sketch], names=["doc", "id", "n", "sketch"])
+
+    return run
+
+
+def _emit_shingles(text: str, shingle: int):
+    """Set id and sorted shingle hashes of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in V.blocks(batch, text, _BLOCK):
+                s = Sets(part.column(text), shingle)
+                lists = [np.sort(s.hash[a:b]).tobytes() for a, b in zip(s.at[:-1], s.at[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(s.id.view(np.int64)), pa.array(lists, pa.binary())], names=["id", "shingles"])
 
     return run
 
@@ -276,13 +284,19 @@ def _may_link(na: Column, nb: Column, xa: Column, xb: Column, percent: int) -> C
     return sizes & ((100 + percent) * _hamming(xa, xb) <= (100 - percent) * (na + nb))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough, verified on their sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("xa"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("xb"))
-    likely = stored(pairs.join(left, "a").join(right, "b").filter(_may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb"), percent)).select("a", "b"), "jaccard-likely")
+def _links(likely: DataFrame, rows: DataFrame, heads: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar enough, verified on their shingles.
+
+    Texts are read again, one for each set that is in a pair.
+    """
+    wanted = likely.select(F.col("a").alias("id")).unionAll(likely.select(F.col("b").alias("id"))).distinct()
+    again = stored(wanted.join(heads.select("id", "head"), "id").select(F.col("head").alias("doc")).distinct(), "jaccard-again")
+    chosen = rows.join(F.broadcast(again) if within(again, BROADCAST_DOCS) else again, "doc", "left_semi")
+    sets = stored(chosen.select("text").mapInArrow(_emit_shingles("text", shingle), "id long, shingles binary"), "jaccard-shingles", "none")
     whole = likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return whole.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long")
+    found = stored(whole.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long").distinct(), "jaccard-links")
+    drop(again, sets)
+    return found
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -294,45 +308,54 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     doc_type = rows.schema["doc"].dataType.simpleString()
-    base = stored(rows.mapInArrow(_emit_sets("text", "doc", shingle, False), f"doc {doc_type}, id long, n long"), "jaccard-base")
-    heads = stored(base.filter("n > 0").groupBy("id").agg(F.min("doc").alias("head"), F.max("n").alias("n")), "jaccard-heads")
-
-    targets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = rows.select("text").mapInArrow(_emit_parts("text", shingle, percent, targets), "target int, ids binary, places binary, keys binary")
-    buckets = stored(packed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "target").mapInArrow(_read_buckets, "bucket long, leader long, member long"), "jaccard-buckets")
-
-    pairs = buckets.groupBy("leader", "member").agg(F.count("*").alias("parts"))
-    size = heads.select("id", "n")
-    sized = pairs.join(size.select(F.col("id").alias("leader"), F.col("n").alias("na")), "leader").join(size.select(F.col("id").alias("member"), F.col("n").alias("nb")), "member")
-    sized = stored(sized.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("leader", "member", "parts"), "jaccard-pairs")
-
-    # documents to read again: one of each set that takes part in a bucket
-    nodes = stored(buckets.select(F.col("leader").alias("id")).unionAll(buckets.select(F.col("member").alias("id"))).distinct(), "jaccard-nodes")
-    again = nodes.join(heads, "id").select(F.col("head").alias("doc"))
-    few = again.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
-    chosen = rows.join(F.broadcast(again) if few else again, "doc", "left_semi")
-    sets = stored(chosen.select("text").mapInArrow(_emit_sets("text", "doc", shingle, True), "id long, n long, sketch array<long>, shingles binary"), "jaccard-sets", "none")
-
-    # each member against its most frequent leader
-    star = sized.groupBy("member").agg(F.max_by("leader", F.struct("parts", "leader")).alias("leader")).select(F.col("leader").alias("a"), F.col("member").alias("b"))
-    first = stored(_links(star, sets, percent), "jaccard-links")
-    roots = stored(components(first), "jaccard-roots")
-
-    # then all members of a bucket that are still in different components
-    named = stored(nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")), "jaccard-named")
-    members = buckets.select("bucket", F.col("member").alias("id")).unionAll(buckets.select("bucket", F.col("leader").alias("id"))).distinct().join(named, "id")
-    mixed = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    members = members.join(mixed, "bucket")
-    sketched = stored(members.join(sets.select("id", "n", "sketch"), "id").select("bucket", "id", "root", "n", "sketch"), "jaccard-open")
-    x, y = sketched.alias("x"), sketched.alias("y")
+    base = stored(rows.mapInArrow(_emit_sets("text", "doc", shingle), f"doc {doc_type}, id long, n long, sketch array<long>"), "jaccard-base")
+    heads = stored(base.filter("n > 0").groupBy("id").agg(F.min("doc").alias("head"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-heads")
+    side = lambda name, n, x: heads.select(F.col("id").alias(name), F.col("n").alias(n), F.col("sketch").alias(x))
+
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = rows.select("text").mapInArrow(_emit_parts("text", shingle, percent, 2 * partitions), "target int, ids binary, places binary, keys binary")
+    buckets = stored(packed.repartition(partitions, "target").mapInArrow(_read_buckets, "bucket long, leader long, member long"), "jaccard-buckets")
+
+    # each member against its leaders that the bounds allow: a pair or less for each membership
+    pairs = buckets.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct()
+    pairs = pairs.join(side("a", "na", "xa"), "a").join(side("b", "nb", "xb"), "b").filter(_may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb"), percent))
+    star = stored(pairs.select("a", "b"), "jaccard-star")
+    first = _links(star, rows, heads, shingle, percent)
+    roots = components(first)
+
+    # then against the hub of each bucket: the member that meets most others in all its buckets
+    members = buckets.select("bucket", F.col("member").alias("id")).unionAll(buckets.select("bucket", F.col("leader").alias("id"))).distinct()
+    members = stored(members, "jaccard-members")
+    rooted = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    size = members.groupBy("bucket").agg(F.count("*").alias("k"))
+    fame = members.join(size, "bucket").groupBy("id").agg(F.sum("k").alias("fame"))
+    hubs = rooted.join(fame, "id").groupBy("bucket").agg(F.max_by(F.struct("id", "root"), F.struct("fame", "id")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    pairs = rooted.join(hubs, "bucket").filter(F.col("root") != F.col("hub.root")).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+    pairs = pairs.join(side("a", "na", "xa"), "a").join(side("b", "nb", "xb"), "b").filter(_may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb"), percent))
+    spokes = stored(pairs.select("a", "b"), "jaccard-spokes")
+    second = _links(spokes, rows, heads, shingle, percent)
+    drop(roots, spokes)
+    roots = components(first.unionAll(second))
+
+    # and last all members of a bucket that are still in different components
+    met = members
+    members = stored(met.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "jaccard-rooted")
+    # of buckets with the same members one is enough (128-bit signature and count)
+    marks = (F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("s2"), F.count("*").alias("n"))
+    mixed = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), *marks).filter("low < high")
+    mixed = mixed.groupBy("s1", "s2", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
+    opened = stored(members.join(mixed, "bucket").join(heads.drop("head"), "id").select("bucket", "id", "root", "n", "sketch"), "jaccard-open")
+    x, y = opened.alias("x"), opened.alias("y")
     test = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
     test &= _may_link(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), percent)
     rest = stored(x.join(y, test).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "jaccard-rest")
-    second = stored(_links(rest, sets, percent), "jaccard-links")
-    roots = stored(components(first.unionAll(second)), "jaccard-roots")
+    third = _links(rest, rows, heads, shingle, percent)
+    drop(buckets, star, roots, met, members, opened, rest)
+    roots = components(first.unionAll(second).unionAll(third))
 
     # from sets to documents
     to = heads.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "head", F.coalesce("root", "id").alias("root"))
     least = to.groupBy("root").agg(F.min("head").alias("component_id"))
     to = stored(to.join(least, "root").select("id", "component_id"), "jaccard-classes")
+    drop(heads, first, second, third, roots)
     return base.join(to, "id", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))

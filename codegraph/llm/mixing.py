@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop, stored, within
 
 MAX_EPOCHS = 2.0
 BLOCK_DIGITS = 3
@@ -96,12 +96,14 @@ def source_cuts(docs: DataFrame, text: str, doc_id: str, source: str, max_epochs
     by_key = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     taken = inside.withColumn("before", F.col("block_start") + F.coalesce(F.sum("tokens").over(by_key), F.lit(0))).filter("before < rest")
     ends = taken.groupBy("source").agg(F.max("key").alias("cut_key"))
-    return stored(with_plan(plan, ends, "left"), "mix-cuts")
+    cuts = stored(with_plan(plan, ends, "left"), "mix-cuts")
+    drop(stats, plan, cut)
+    return cuts
 
 
 def with_plan(rows: DataFrame, plan: DataFrame, how: str) -> DataFrame:
     """rows joined to a table of one row a source, broadcast only within its checked size."""
-    small = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    small = within(plan, BROADCAST_SOURCES)
     right = plan.withColumnRenamed("source", "_s")
     return rows.join(F.broadcast(right) if small else right, F.col("source").eqNullSafe(F.col("_s")), how).drop("_s")
 
@@ -113,7 +115,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     least once; ordering by (_epoch, _block, its key) gives the permutation.
     """
     cuts = source_cuts(docs, text, doc_id, source, max_epochs, target_entropy, seed, block_digits)
-    small = cuts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    small = within(cuts, BROADCAST_SOURCES)
     right = cuts.select(F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("cut_key").alias("_cut"), F.col("weight").alias("_weight"))
     base = docs.drop("_source", "_whole", "_cut", "_weight", "_epoch", "_block")
     joined = base.join(F.broadcast(right) if small else right, base[source].cast("string").eqNullSafe(F.col("_source")))
