@@ -165,9 +165,10 @@ def _join(docs: DataFrame, text: str, keep: list[str], windows: DataFrame) -> Da
     def count(part: pa.RecordBatch) -> list:
         return [np.diff(scan(*V.utf8(part.column(text))).first)]
 
+    keep = [c for c in keep if c.lower() not in {f.name for f in FIELDS}]
     counted = V.with_columns(rowed, text, FIELDS[:1], count, ["_row", *keep])
     return counted.join(found.withColumnRenamed("row", "_row"), "_row", "left").select(
-        *(c for c in keep if c.lower() not in {"n_words", "n_hit", "items"}), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
+        *keep, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
 
 
