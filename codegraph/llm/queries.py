@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontam, html_extract, jaccard, linededup, mixing, quality, secrets, tokencounts, tokenids, warc
 from .common import fresh_path, table
+from .oracles import ORACLES
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -78,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
