@@ -102,7 +102,7 @@ def _ranks(pairs: DataFrame) -> DataFrame:
     """
     several = stored(pairs.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2"), "suffix-pairs")
     order = stored(several.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2").withColumn("rank", F.monotonically_increasing_id()), "suffix-order")
-    ranks = stored(pairs.join(order, ["h1", "h2"]).select("doc", "line", "rank"), "suffix-ranks")
+    ranks = stored(pairs.join(order.hint("merge"), ["h1", "h2"]).select("doc", "line", "rank"), "suffix-ranks")
     drop(several, order)
     return ranks
 
@@ -119,7 +119,7 @@ def later_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
     while True:
         # a window whose first block occurs once occurs once itself
         begins = level.select("doc", F.col("line").alias("start"), F.col("rank").alias("first"))
-        spans = stored(spans.join(begins, ["doc", "start"]).distinct(), "line-windows")
+        spans = stored(spans.join(begins.hint("merge"), ["doc", "start"]).distinct(), "line-windows")
         stale.append(spans)
         tails = level.select("doc", F.col("line").alias("tail"), F.col("rank").alias("last"))
         keyed = spans.filter(F.col("length") < 2 * h).withColumn("tail", F.col("start") + F.col("length") - h)
@@ -147,7 +147,8 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Columns of docs with these two names are replaced.
     """
     gone = later_copies(docs, text, doc_id, min_words).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("start", "length")).alias("_gone"))
-    joined = docs.drop("n_lines", "n_deleted").join(gone, docs[doc_id].eqNullSafe(F.col("_doc")), "left").withColumn("_lines", F.split(F.col(text), "\n"))
+    # a merge join at every size: what it shuffles follows the input, whatever the copies come to
+    joined = docs.drop("n_lines", "n_deleted").join(gone.hint("merge"), docs[doc_id].eqNullSafe(F.col("_doc")), "left").withColumn("_lines", F.split(F.col(text), "\n"))
     inside = lambda i: F.exists("_gone", lambda g: (g["start"] <= i) & (i < g["start"] + g["length"]))
     kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x, i: ~inside(i)))
     joined = joined.withColumn("_kept", kept)
