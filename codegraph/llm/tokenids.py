@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,11 +33,23 @@ from pyspark.sql import Window
 
 from . import vectext as V
 from .common import fresh_path
+from .transducer import byte_symbols
 
 END_ID = 2
 SHARD_TOKENS = 1 << 21
-#: Words kept in a worker, about 200 bytes each.
-KEPT_WORDS = 1_000_000
+#: Words kept in a worker, about 200 bytes each; when there are more, all are forgotten.
+KEPT_WORDS = 400_000
+
+
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The pre-tokenizer's pattern on lower-case plain words.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_STAND_IN = {b: ord(c) for b, c in enumerate(byte_symbols())}
+
+
+def _byte_form(piece: str) -> str:
+    """The piece with every UTF-8 byte as its printable stand-in."""
+    return piece if piece.isascii() else piece.encode().decode("latin-1").translate(_STAND_IN)
 
 
 class Encoder:
@@ -52,6 +65,11 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_word = _drops_space(spec)
+        if self.by_word:
+            self.model = Tokenizer(self.library.model)  # the same merges, for pieces in byte form
+            vocab = spec["model"]["vocab"]
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
@@ -62,10 +80,31 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        """Ids of words: of plain ones by their pieces, of all others by the whole pipeline.
+
+        A plain word holds ASCII and Latin letters only, where normalising is
+        lower-casing and the pre-tokenizer's classes are these; its pieces go
+        to the library's model.
+        """
+        split = [_PIECES.findall(w.lower()) if _PLAIN.fullmatch(w) and "<|" not in w else None for w in words]
+        new, kept = list({p for pieces in split if pieces for p in pieces}), {}
+        if new:
+            found = self.model.encode_batch_fast([[_byte_form(p) for p in new]], is_pretokenized=True, add_special_tokens=False)[0].ids
+            at = 0
+            for p in new:  # every piece ends with the one token that carries the end of a word
+                to = at
+                while not self.ends[found[to]]:
+                    to += 1
+                kept[p] = found[at : to + 1]
+                at = to + 1
+        odd = iter(self._library([w for w, pieces in zip(words, split) if pieces is None]))
+        return [next(odd) if pieces is None else kept[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in kept[p]] for pieces in split]
+
     def _learn(self, words: list[bytes]) -> None:
-        for k in range(0, len(words), 4096):
-            part = words[k : k + 4096]
-            found = self._library([w.decode() for w in part])
+        for k in range(0, len(words), 65_536):
+            part = words[k : k + 65_536]
+            found = self._encoded([w.decode() for w in part])
             flat = np.fromiter((i for x in found for i in x), np.uint32)
             size = np.fromiter(map(len, found), np.int64, len(found))
             n = len(self.code)
@@ -112,7 +151,8 @@ def _drops_space(spec: dict) -> bool:
     kinds = {n.get("type") for n in norm.get("normalizers", [norm])}
     plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", []))
     prefixed = any(p.get("add_prefix_space") for p in pre.get("pretokenizers", []))
-    return bool(kept and plain and not prefixed and not spec.get("post_processor") and kinds <= {"NFC", "Replace", "Lowercase"})
+    ends = spec.get("model", {}).get("end_of_word_suffix") == "</w>"
+    return bool(ends and kept and plain and not prefixed and not spec.get("post_processor") and kinds <= {"NFC", "Replace", "Lowercase"})
 
 
 @lru_cache(maxsize=2)
