@@ -6,8 +6,10 @@ reads the text as source or configuration syntax: names, string and bare
 literals, `=`, `:`, `:=`, `=>`, `+`, brackets, comments.  It keeps a table of
 constants (name -> the literals it was made of), follows references and
 concatenations through it, and scores the literals that reach a sensitive
-target name by name and by strength.  The lexer only runs on texts that
-assign to a sensitive name at all; without one it could add nothing.
+target name by name and by strength.  The lexer runs on every text that has
+the stem of a sensitive name and, anywhere behind it, an operator that may
+assign.  Every name with a score holds a stem and stands before its operator,
+so the lexer could add nothing to the other texts.
 
 Defined cases: null is the empty text and has no findings; spans count code
 points, ends exclusive; repeated rows each get their findings; texts of any
@@ -37,7 +39,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGNED = 6
 
-_GATE = re.compile(r"(?:pass|pwd|secret|token|key|cred|auth)[\w$.\-]{0,64}[\"'\]]{0,2}[ \t]{0,8}(?::=|=>|=|:)", re.I | re.A)
+_STEM = re.compile(r"pass|pwd|secret|token|key|cred|auth", re.I | re.A)
 _LEX = re.compile(
     r"""(?P<skip>[ \t\r]+|//[^\n]*|\#[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)
       | (?P<line>\n)
@@ -138,6 +140,12 @@ def pairs(text: str) -> Iterator[tuple[str, tuple[Literal, ...]]]:
         yield done
 
 
+def may_assign(text: str) -> bool:
+    """Whether a sensitive name could be assigned to: a stem, and behind it a `=` or `:`."""
+    stem = _STEM.search(text)
+    return stem is not None and max(text.rfind("="), text.rfind(":")) >= stem.end()
+
+
 def findings(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by start, then kind as listed."""
     if not text:
@@ -145,7 +153,7 @@ def findings(text: str | None) -> list[tuple[str, int, int, float]]:
     found = [("assign", m.start(), m.end(), 1.0) for m in _ASSIGN.finditer(text) if len(m.group(2)) >= MIN_ASSIGNED]
     found += [("access", m.start(), m.end(), 1.0) for m in _ACCESS.finditer(text)] if "AKIA" in text else []
     found += [("hex", m.start(), m.end(), 1.0) for m in _HEX.finditer(text)]
-    if _GATE.search(text):
+    if may_assign(text):
         base = [(a, b) for _, a, b, _ in found]
         more: dict[tuple[int, int], float] = {}
         for name, literals in pairs(text):
