@@ -2,23 +2,26 @@
 
 Pages are parsed tolerantly (unclosed and stray tags, raw text elements,
 comments, cut-off ends) into a tree, and every block element gets the hash of
-its subtree: tags and normalised text.  Spark counts, for each host, in how
-many pages a subtree occurs; a subtree that recurs across many pages of a host
-is a template and is deleted with all it holds.
+its subtree: tags and normalised text.  Spark counts, for each host, with how
+many different contents a subtree occurs; one that recurs with many contents of
+a host is a template and is deleted with all it holds.  The content of a page
+is its text before templates are removed, so copies of a page count once
+however often they come, and can't make a template of what they hold.
 
 What counts as content: elements whose tag or class says menu, header, footer,
 sidebar, notice, advert, form or reader comments are never content.  If a page
 has an article (or main) element, its text is the content and everything
 outside is not; inside it, paragraphs, headings and list items are never
-templates, so copies of an article on one host keep their text.  Without such
+templates.  Without such
 an element all of the body is content, less templates of its host.
 
-Counts are aggregated before the shuffle by (host, subtree), so a host with a
-third of all pages is no task's burden.
+Equal (host, subtree, content) are merged before the shuffle, and counts by
+(host, subtree) before the next one, so a host with a third of all pages is no
+task's burden.
 
 Defined cases: null or empty html gives the empty text and 0; a page without
-a host in its URL counts under the host ""; copies of a page count as often
-as they come; repeated page ids each get their row.
+a host in its URL counts under the host ""; repeated page ids each get their
+row.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A subtree is a template of a host from so many pages on, if they are also this share of its pages.
+#: A subtree is a template of a host from so many contents on, if they are also this share of its contents.
 MIN_PAGES, MIN_SHARE = 5, 0.2
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
@@ -225,21 +228,25 @@ def host_of(url):
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, key, content) of the subtrees of each page, and one row with no key a page."""
     for batch in batches:
-        hosts, keys = [], []
+        rows = set()
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            own = [k - (1 << 63) for k in blocks(page)[1]]
-            hosts += [host] * len(own)
-            keys += own
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], names=["host", "key"])
+            texts, own = blocks(page)
+            content = xxhash.xxh64_intdigest(" ".join(texts)) - (1 << 63)
+            rows.add((host, None, content))
+            rows.update((host, k - (1 << 63), content) for k in own)
+        hosts, keys, contents = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(contents, pa.int64())], names=["host", "key", "content"])
 
 
 def site_templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, keys): the subtree hashes that recur across many pages of a host."""
+    """(host, key): the subtree hashes that recur with many contents of a host."""
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    seen = rows.mapInArrow(_keys, "host string, key long").groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    size = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    return seen.join(size, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "key")
+    counts = rows.mapInArrow(_keys, "host string, key long, content long").distinct().groupBy("host", "key").agg(F.count("*").alias("n"))
+    seen = counts.filter(F.col("key").isNotNull() & (F.col("n") >= min_pages))
+    size = counts.filter(F.col("key").isNull()).select("host", F.col("n").alias("contents"))
+    return seen.join(size, "host").filter(F.col("n") >= min_share * F.col("contents")).select("host", "key")
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:

@@ -279,3 +279,21 @@ def test_html(spark):
     want = {i: f"text {i}" for i in range(8)} | {20: "Home News only", 21: "", 22: "", 23: "T a b c", 24: "cut"}
     # a paragraph that all pages of a host share is a template of it as well
     assert {k: v[0] for k, v in got.items()} == want and all(n == len(t) for t, n in got.values())
+
+
+def page_texts(spark, pages):
+    """Texts by page id; pages are (page_id, url, html)."""
+    return {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_html_copies(spark):
+    advert = lambda i: f"<div class='ad'>buy {i}</div>"
+    wrapped = {f"http://w{k}.org/": page for k, page in enumerate(("<article><div class='body'><p>one<p>two</div></article>", "<article><section><ul><li>one<li>two</ul></section></article>", "<main><table><tr><td>one<td>two</table></main>", "<body><div><p>one</p><p>two</p></div></body>", "<p>one</p><p>two</p>"))}
+    pages = [(100 * k + i, url, (advert(i) if i % 2 else "") + page) for k, (url, page) in enumerate(wrapped.items()) for i in range(12)]
+    # copies among other pages of their host, with a menu and a notice that all pages share
+    menu, notice = "<div><ul><li>Home<li>News</ul></div>", "<div><p>All rights</p></div>"
+    pages += [(1000 + i, "http://m.org", f"{menu}<div><p>{'same text' if i < 20 else f'text {i}'}</p></div>") for i in range(26)]
+    pages += [(2000 + i, "http://n.org", f"<article><div><p>{'same text' if i < 20 else f'text {i}'}</p></div>{notice}</article>") for i in range(26)]
+    got = page_texts(spark, pages)
+    assert {i: t for i, t in got.items() if i < 1000} == {i: "one two" for i, _, _ in pages if i < 1000}
+    assert {i: t for i, t in got.items() if i >= 1000} == {1000 * n + i: "same text" if i < 20 else f"text {i}" for n in (1, 2) for i in range(26)}
