@@ -17,7 +17,8 @@ an element all of the body is content, less templates of its host.
 
 Equal (host, subtree, content) are merged before the shuffle, and counts by
 (host, subtree) before the next one, so a host with a third of all pages is no
-task's burden.
+task's burden.  Templates are broadcast as far as they are few; else the rare
+ones are joined to the subtrees of each distinct page, never gathered by host.
 
 Defined cases: null or empty html gives the empty text and 0; a page without
 a host in its URL counts under the host ""; repeated page ids each get their
@@ -36,8 +37,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A subtree is a template of a host from so many contents on, if they are also this share of its contents.
-MIN_PAGES, MIN_SHARE = 5, 0.2
+#: A subtree is a template of a host from so many contents on, however many the host has.
+MIN_PAGES = 5
+#: Up to here the templates are broadcast (about 100 bytes each in a worker), beyond only those that recur with HOT contents or more.
+BROADCAST_TEMPLATES, HOT = 200_000, 100_000
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTR = re.compile(r"""([^\s=/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
@@ -228,43 +231,62 @@ def host_of(url):
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, key, content) of the subtrees of each page, and one row with no key a page."""
+    """(host, key, content) of the subtrees of each page."""
     for batch in batches:
         rows = set()
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             texts, own = blocks(page)
             content = xxhash.xxh64_intdigest(" ".join(texts)) - (1 << 63)
-            rows.add((host, None, content))
             rows.update((host, k - (1 << 63), content) for k in own)
         hosts, keys, contents = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(contents, pa.int64())], names=["host", "key", "content"])
 
 
-def site_templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, key): the subtree hashes that recur with many contents of a host."""
+def _page_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, key) of the subtrees of each page; page is its digest."""
+    for batch in batches:
+        rows = set()
+        for host, digest, page in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist(), batch.column("html").to_pylist()):
+            rows.update((host, digest, k - (1 << 63)) for k in blocks(page)[1])
+        hosts, digests, keys = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.string()), pa.array(keys, pa.int64())], names=["host", "page", "key"])
+
+
+def site_templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, key, n): the subtree hashes that recur with many contents of a host, and how many."""
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
     counts = rows.mapInArrow(_keys, "host string, key long, content long").distinct().groupBy("host", "key").agg(F.count("*").alias("n"))
-    seen = counts.filter(F.col("key").isNotNull() & (F.col("n") >= min_pages))
-    size = counts.filter(F.col("key").isNull()).select("host", F.col("n").alias("contents"))
-    return seen.join(size, "host").filter(F.col("n") >= min_share * F.col("contents")).select("host", "key")
+    return counts.filter(F.col("n") >= min_pages)
 
 
-def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, broadcast_templates: int = BROADCAST_TEMPLATES, hot: int = HOT) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     from .common import stored, within
 
-    templates = stored(site_templates(pages, url, html, min_pages, min_share), "templates")
-    # a host has few templates: at most 1 / min_share for each subtree that a page has
-    by_host = templates.groupBy("host").agg(F.collect_list("key").alias("keys"))
+    templates = stored(site_templates(pages, url, html, min_pages), "templates")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    right = by_host.withColumnRenamed("host", "_host")
-    joined = rows.join(F.broadcast(right) if within(templates, 100_000) else right, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "keys")
+    few = within(templates, broadcast_templates)
+    if few:
+        joined = rows.withColumn("keys", F.lit(None).cast("array<long>"))
+    else:
+        rows = rows.withColumn("page", F.md5(F.col("html").cast("binary")))
+        own = rows.select("host", "page", "html").mapInArrow(_page_keys, "host string, page string, key long").distinct()
+        rare = own.join(templates.filter(F.col("n") < hot).select("host", "key"), ["host", "key"]).groupBy("host", "page").agg(F.collect_list("key").alias("keys"))
+        joined = rows.join(rare, ["host", "page"], "left")
+    joined = joined.select("page_id", "url", "html", "host", "keys")
+    by_host: dict[str, set[int]] = {}
+    for r in (templates if few else templates.filter(F.col("n") >= hot)).select("host", "key").toLocalIterator():
+        by_host.setdefault(r["host"], set()).add(r["key"] + (1 << 63))
+    known = pages.sparkSession.sparkContext.broadcast(by_host)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, keys in zip(batch.column("html").to_pylist(), batch.column("keys").to_pylist()):
-                texts.append(" ".join(blocks(page, frozenset(k + (1 << 63) for k in keys or ()))[0]))
+            for page, host, keys in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), batch.column("keys").to_pylist()):
+                own = known.value.get(host, frozenset())
+                if keys:
+                    own = own.union(k + (1 << 63) for k in keys)
+                texts.append(" ".join(blocks(page, own)[0]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -281,9 +281,9 @@ def test_html(spark):
     assert {k: v[0] for k, v in got.items()} == want and all(n == len(t) for t, n in got.values())
 
 
-def page_texts(spark, pages):
+def page_texts(spark, pages, **options):
     """Texts by page id; pages are (page_id, url, html)."""
-    return {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    return {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string"), **options).collect()}
 
 
 def test_html_copies(spark):
@@ -297,3 +297,15 @@ def test_html_copies(spark):
     got = page_texts(spark, pages)
     assert {i: t for i, t in got.items() if i < 1000} == {i: "one two" for i, _, _ in pages if i < 1000}
     assert {i: t for i, t in got.items() if i >= 1000} == {1000 * n + i: "same text" if i < 20 else f"text {i}" for n in (1, 2) for i in range(26)}
+
+
+def test_html_rotating_adverts(spark):
+    menu, advert = "<div>Home News</div>", lambda i: f"<div><p>buy number {i}</p></div>"
+    pages = [(i, "http://plain.org", f"{menu}<p>text {i}</p>{advert(i % 20)}") for i in range(120)]
+    pages += [(200 + i, "http://art.org", f"<article><p>text {200 + i}</p>{advert(i % 20)}</article>") for i in range(120)]
+    # 4 pages with one subtree are not enough at any size of the host; copies keep their text
+    pages += [(400 + i, "http://plain.org", f"<p>rare</p><p>text {400 + i}</p>") for i in range(4)] + [(500 + i, "http://plain.org", "<p>copy</p>") for i in range(9)]
+    want = {i: f"text {i}" for i, _, _ in pages if i < 400} | {400 + i: f"rare text {400 + i}" for i in range(4)} | {500 + i: "copy" for i in range(9)}
+    assert page_texts(spark, pages) == want
+    assert page_texts(spark, pages, broadcast_templates=3) == want
+    assert page_texts(spark, pages, broadcast_templates=3, hot=100) == want
