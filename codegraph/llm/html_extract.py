@@ -8,8 +8,9 @@ a host is a template and is deleted with all it holds.  The content of a page
 is its text before templates are removed, so copies of a page count once
 however often they come, and can't make a template of what they hold.
 
-What counts as content: elements whose tag or class says menu, header, footer,
-sidebar, notice, advert, form or reader comments are never content.  If a page
+What counts as content: elements whose tag, class or id (whole names) says
+menu, header, footer, sidebar, notice, advert, form or reader comments are not
+content, unless they wrap the article of the page.  If a page
 has an article (or main) element, its text is the content and everything
 outside is not; inside it, paragraphs, headings and list items are never
 templates.  Without such
@@ -50,11 +51,12 @@ _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del",
 _NEVER = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "head", "audio", "video", "canvas"} | _RAW
 _CONTENT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "td", "th", "dd", "dt", "figcaption"}
 _MAIN = {"article", "main"}
-_BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adverts|banner|promo|promotion|sponsor|sponsored|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side-bar|footer|header|masthead|"
-    r"cookie|cookies|consent|notice|gdpr|popup|modal|newsletter|subscribe|subscription|signup|login|comment|comments|comment-list|disqus|respond|replies|reply|share|sharing|social|related|recommended|widget|toolbar|skip-link|pagination|pager)(?:$|[\s_-])",
-    re.I,
-)
+#: Whole class names and ids.  Those of _CARDS may hold article elements that are not the page's article.
+_CARDS = set("""ad ads advert advertisement adverts ad-slot ad-banner ad-container ad-wrapper promo promotion sponsor sponsored widget
+    comment comments comment-list comments-area comments-section post-comments disqus disqus_thread respond replies reply related related-posts related-articles recommended""".split())
+_BOILERPLATE = _CARDS | set("""banner nav navbar nav-bar navigation main-nav site-nav top-nav main-navigation site-navigation post-navigation menu main-menu nav-menu breadcrumb breadcrumbs
+    sidebar side-bar footer site-footer page-footer header site-header page-header masthead cookie cookies cookie-banner cookie-notice cookie-consent cookie-bar consent notice gdpr popup modal
+    newsletter newsletter-signup subscribe subscription signup login share share-buttons sharing social social-share social-links social-media toolbar skip-link pagination pager""".split())
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
 #: An opening tag ends these open elements.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -64,22 +66,31 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 class Node:
     tag: str
     hidden: bool = False
+    holds: bool = False  # has an article or main element inside
+    card: bool = False  # may hold articles that are not the page's
     children: list = field(default_factory=list)
     digest: int = 0
 
 
-def _hidden(tag: str, attributes: str) -> bool:
+def _hidden(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is no content, and whether that holds even if it has an article inside."""
     if tag in _NEVER:
-        return True
+        return True, tag != "form"
     if tag in ("html", "body") or tag in _MAIN or not attributes:
-        return False
+        return False, False
+    hidden = False
     for name, a, b, c in _ATTR.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id") and _BOILERPLATE.search(value) or name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(_ATTR, " ", attributes)))
+        if name in ("class", "id"):
+            names = value.lower().split()
+            if not _CARDS.isdisjoint(names):
+                return True, True
+            hidden = hidden or not _BOILERPLATE.isdisjoint(names)
+        elif name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true":
+            hidden = True
+        elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            hidden = True
+    return hidden or bool(re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(_ATTR, " ", attributes))), False
 
 
 def parse(page: str) -> Node:
@@ -130,7 +141,8 @@ def parse(page: str) -> Node:
                         break
                     if stack[i].tag in ("ul", "ol", "dl", "table", "tbody", "thead", "article", "div", "select"):
                         break
-        node = Node(tag, _hidden(tag, m[3]))
+        hidden, card = _hidden(tag, m[3])
+        node = Node(tag, hidden, card=card)
         stack[-1].children.append(node)
         if tag in _VOID or m[3].endswith("/") and tag not in _INLINE | _CONTENT | _MAIN | {"div", "section", "script", "style"}:
             continue
@@ -157,21 +169,47 @@ def _digest(root: Node) -> None:
                 h.update(" ".join(c.split()))
             else:
                 h.update(b"\1" + c.digest.to_bytes(8, "little"))
+                node.holds = node.holds or c.holds or c.tag in _MAIN
         node.digest = h.intdigest()
 
 
+def _wraps(node: Node) -> bool:
+    """Whether a hidden element may wrap the article of the page."""
+    return node.holds and not node.card
+
+
+def _says(root: Node) -> bool:
+    """Whether a tree has text that is not hidden."""
+    todo: list = [root]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            if _html.unescape(item).strip():
+                return True
+        elif not item.hidden:
+            todo += item.children
+    return False
+
+
 def _content_roots(root: Node) -> tuple[list[Node], bool]:
-    """The article (else main) elements to read, or the whole page."""
-    for wanted in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            if node.tag == wanted:
-                found.append(node)
-            elif not node.hidden:
-                todo += [c for c in reversed(node.children) if isinstance(c, Node)]
-        if found:
-            return found, True
+    """The article (else main) elements to read, or the whole page.
+
+    Those that no hidden element holds go first, then those in wrappers; the
+    others only count on a page that has no other text.
+    """
+    for level in range(3) if root.holds else ():
+        if level == 2 and _says(root):
+            break
+        for wanted in ("article", "main"):
+            found, todo = [], [root]
+            while todo:
+                node = todo.pop()
+                if node.tag == wanted:
+                    found.append(node)
+                elif not node.hidden or level == 2 or level == 1 and _wraps(node):
+                    todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+            if found:
+                return found, True
     return [root], False
 
 
@@ -210,7 +248,7 @@ def blocks(page: str | None, templates: set[int] | frozenset[int] = frozenset())
                 now.append(_html.unescape(item))
             elif item.tag == "br":
                 now.append(" ")
-            elif item.hidden and item is not top:
+            elif item.hidden and item is not top and (top.tag == "article" or not _wraps(item)):
                 continue
             else:
                 if _eligible(item, sheltered):

@@ -309,3 +309,25 @@ def test_html_rotating_adverts(spark):
     assert page_texts(spark, pages) == want
     assert page_texts(spark, pages, broadcast_templates=3) == want
     assert page_texts(spark, pages, broadcast_templates=3, hot=100) == want
+
+
+def test_html_wrappers():
+    text = lambda page: " ".join(html_extract.blocks(page)[0])
+    article = "<article><h1>T</h1><p>one</p></article>"
+    for names in ("container no-sidebar", "has-sidebar", "menu-open", "modal", "sidebar", "page menu", "Login"):
+        for inner in (article, f"<main>{article}</main>", article.replace("article", "main"), f"<div>{article}</div>"):
+            assert text(f'<body><p>out</p><div class="{names}">{inner}</div></body>') == "T one", (names, inner)
+    for names in ("modal", "sidebar", "page menu", "Login"):
+        assert text(f'<main><p>first</p><div id="{names}">{article}</div></main>') == "first T one"
+    for wrapper in ("form", "div hidden", "div style='display: none'", "div role=dialog", "div aria-hidden=true"):
+        assert text(f"<{wrapper}>{article}</{wrapper.split()[0]}>") == "T one"
+    for inside in ('<div class="entry-header"><h1>T</h1></div>', '<div class="social-science"><h1>T</h1></div>', '<h1 id="comment-ça">T</h1>', '<h1 class="my_menu no-ads">T</h1>'):
+        assert text(f"<article>{inside}<p>one</p></article>") == text(f"<body>{inside}<p>one</p></body>") == "T one"
+    # what holds other articles stays out
+    for teaser in ("<aside>{}</aside>", "<div class='box related'>{}</div>", "<section id=comments>{}</section>", "<div class='menu'>{}</div>"):
+        other = teaser.format("<article>other</article>")
+        assert text(f"{article}{other}") == text(f"<main>{article}</main>{other}") == text(f"<article><h1>T</h1><p>one</p>{other}</article>") == "T one"
+        if "menu" not in teaser:
+            assert text(f"<main><p>one</p>{other}</main>") == text(f"<body><p>one</p>{other}</body>") == "one" and text(other) == "other"
+    for name in ("ad", "AD", "x sidebar y", "site-footer", "cookie-banner", "comments"):
+        assert text(f"<article><p>one</p><div class='{name}'>no</div></article>") == "one"
