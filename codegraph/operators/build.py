@@ -120,6 +120,22 @@ def ordered(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.orderBy("id"), edges.orderBy(F.to_json(F.array("source", "type", "target")))
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows in the order of an orderBy, with their `place` from 1 on.
+
+    Each partition of the range sort numbers its own rows and adds the rows of
+    the partitions before it, so no task sees all rows.
+    """
+    at = F.monotonically_increasing_id()  # partition in the upper 31 bits, row in the lower 33
+    numbered = rows.withColumn("_at", at).withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).persist()
+    before, total = [], 0
+    for r in numbered.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():  # a row for each partition
+        before.append((r["_part"], total))
+        total += r["n"]
+    offsets = rows.sparkSession.createDataFrame(before, "_part long, _before long")
+    return numbered.join(F.broadcast(offsets), "_part").withColumn("place", F.col("_at") + F.col("_before") + 1).drop("_part", "_at", "_before")
+
+
 def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Write one graph.json of a (bounded) repository graph; an existing file is never overwritten."""
     import json

@@ -171,9 +171,25 @@ def record_dedupe(spark, d):
 
 @query("SELECT row_number() OVER (ORDER BY to_json([source, target, type])) AS place, source, type, target FROM edges WHERE type IN ('HAS_REVISION', 'CONTAINS') AND source[1] <> 'c'", prelude=corpus.HIERARCHY_SQL)
 def export_order(spark, d):
+    from ..operators import build
+
     _, edges = corpus.hierarchy(spark, d)
     top = edges.filter(F.col("type").isin("HAS_REVISION", "CONTAINS") & ~F.col("source").startswith("c"))
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.to_json(F.array("source", "target", "type")))).cast(L)).select("place", "source", "type", "target")
+    return build.placed(top.orderBy(F.to_json(F.array("source", "target", "type")))).select("place", "source", "type", "target")
+
+
+@query("SELECT row_number() OVER (ORDER BY to_json([source, type, target])) AS place, source, type, target FROM edges", prelude=corpus.HIERARCHY_SQL)
+def export_order_edges(spark, d):
+    from ..operators import build
+
+    return build.placed(build.ordered(*corpus.hierarchy(spark, d))[1]).select("place", "source", "type", "target")
+
+
+@query("SELECT row_number() OVER (ORDER BY id) AS place, id, type FROM nodes", prelude=corpus.HIERARCHY_SQL)
+def export_order_nodes(spark, d):
+    from ..operators import build
+
+    return build.placed(build.ordered(*corpus.hierarchy(spark, d))[0]).select("place", "id", "type")
 
 
 # -- graph validation -----------------------------------------------------------------------

@@ -139,3 +139,22 @@ def test_projection(spark):
     assert [(c["source"], c["target"]) for c in calls] == [("7:2::f", "7:2::g")]
     assert [r["id"] for r in projection.stub_callees(old).collect()] == ["7:2::g"]
     assert projection.broken_uniqueness(nodes).count() == 0
+
+
+def test_export_order_of_all(spark):
+    import json
+
+    from codegraph.plans import corpus, queries
+
+    d = "/root/testdata/sf0.001"
+    nodes, edges = corpus.hierarchy(spark, d)
+    want = sorted((tuple(r) for r in edges.select("source", "type", "target").collect()), key=lambda e: json.dumps(e, separators=(",", ":")))
+    got = sorted(map(tuple, queries.QUERIES["export_order_edges"](spark, d).collect()))
+    assert got == [(i, *e) for i, e in enumerate(want, 1)] and {e[1] for e in want} == {"HAS_REVISION", "CONTAINS", "DEFINES", "HAS_CALL_SITE"}
+    got = sorted(map(tuple, queries.QUERIES["export_order_nodes"](spark, d).collect()))
+    assert got == [(i, *n) for i, n in enumerate(sorted(tuple(r) for r in nodes.select("id", "type").collect()), 1)]
+    top = sorted((e for e in want if e[1] in ("HAS_REVISION", "CONTAINS") and e[0][0] != "c"), key=lambda e: json.dumps([e[0], e[2], e[1]], separators=(",", ":")))
+    found = queries.QUERIES["export_order"](spark, d)
+    assert sorted(map(tuple, found.collect())) == [(i, *e) for i, e in enumerate(top, 1)]
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert build.placed(edges.limit(0).orderBy("source")).count() == 0
