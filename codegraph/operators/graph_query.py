@@ -3,7 +3,8 @@
 A graph is the dict that validate.select_graph returns.  Traversals are hop
 loops: every hop is one join of the frontier with the edges, ranked in the
 breadth-first order of emission, so cuts at a limit are exact prefixes of that
-order.  Frontiers are bounded by the limits, never collected.
+order.  Frontiers are bounded by the limits, never collected; reach has no limit
+and keeps them distributed.
 """
 
 from __future__ import annotations
@@ -106,6 +107,17 @@ def steps(edges: DataFrame, frontier: DataFrame, allowed: list[str], direction:
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def reach(graph: dict, start: str, allowed: list[str], direction: str = "out", depth: int = 1) -> DataFrame:
+    """All nodes within `depth` hops of start, itself included, without a limit."""
+    known(graph, start)
+    frontier = visited = graph["nodes"].sparkSession.createDataFrame([(start,)], "node string")
+    for _ in range(depth):
+        found = steps(graph["edges"], frontier, allowed, direction).select(F.col("neighbor").alias("node")).distinct()
+        frontier = found.join(visited, "node", "left_anti").persist()
+        visited = visited.unionAll(frontier)
+    return describe(graph).join(visited.withColumnRenamed("node", "id"), "id", "left_semi")
+
+
 def neighborhood(graph: dict, start: str, allowed: list[str], direction: str = "out", depth: int = 1, limit: int = 30) -> dict:
     """Edges in breadth-first order up to `limit`, the nodes they reach, and whether more edges exist.
 

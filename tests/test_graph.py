@@ -158,3 +158,19 @@ def test_export_order_of_all(spark):
     assert sorted(map(tuple, found.collect())) == [(i, *e) for i, e in enumerate(top, 1)]
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
     assert build.placed(edges.limit(0).orderBy("source")).count() == 0
+
+
+def test_neighborhood_queries_have_no_limit(spark, monkeypatch):
+    from codegraph.plans import corpus, queries
+
+    n = 2500
+    functions = spark.range(n).select(F.concat(F.lit("o:"), "id").alias("id"), F.lit("Function").alias("type"), F.lit("{}").alias("properties"))
+    calls = spark.range(n).select(F.concat(F.lit("l:"), "id").alias("id"), F.lit("CallSite").alias("type"), F.lit("{}").alias("properties"))
+    nodes = spark.createDataFrame([("c:1", "File", "{}"), ("n:1", "Revision", "{}")], "id string, type string, properties string").unionAll(functions).unionAll(calls)
+    edge = lambda source, kind, target: spark.range(n).select(source.alias("source"), F.lit(kind).alias("type"), target.alias("target"), F.lit("{}").alias("properties"))
+    own, site = F.concat(F.lit("o:"), "id"), F.concat(F.lit("l:"), "id")
+    edges = edge(F.lit("c:1"), "DEFINES", own).unionAll(edge(own, "HAS_CALL_SITE", site)).unionAll(edge(F.lit("n:1"), "CONTAINS", F.lit("c:1")).limit(1))
+    owners = spark.createDataFrame([], "node string, file string, path string")
+    monkeypatch.setattr(corpus, "graph_of", lambda spark, d: {"nodes": nodes, "edges": edges, "owners": owners})
+    found = [queries.QUERIES[f"neighborhood_d{depth}"](spark, "").collect() for depth in (1, 2, 3)]
+    assert [len(f) for f in found] == [len({r["id"] for r in f}) for f in found] == [n + 1, 2 * n + 1, 2 * n + 1]
