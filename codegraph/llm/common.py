@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from spark.checkpoint.dir.
 
-    Only where the setting is absent (tests on one machine) a folder is made.
+    Where the setting is absent, a local session (tests) gets a folder of its
+    own; on a cluster that would lose rows, so it is an error there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
@@ -26,8 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths in the shared folder that this driver has made and not deleted.
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def stored(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
@@ -48,8 +60,43 @@ def drop(*tables: DataFrame) -> None:
 def remove(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def sweep(spark: SparkSession, but: str | None = None) -> None:
+    """Delete everything that operators have stored so far, once their results are written elsewhere.
+
+    Results are read lazily from some of these tables, so operators can't
+    delete them themselves; whoever has consumed or written a result can.
+    """
+    for path in [p for p in _MADE if p != but]:
+        remove(spark, path)
 
 
 def within(df: DataFrame, most: int) -> bool:
     """Whether df has at most so many rows; reads no more than it must."""
     return df.limit(most + 1).count() <= most
+
+
+def small(df: DataFrame, most_bytes: int) -> bool:
+    """Whether the values of df take at most so many bytes: 8 for a number, their length for texts and binaries.
+
+    Counted over all rows, so what is broadcast behind it has a proven bound.
+    """
+    wide = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    other = [f for f in df.schema.fields if f.name not in wide]
+    if any(not isinstance(f.dataType, T.NumericType | T.BooleanType | T.DateType | T.TimestampType) for f in other):
+        return False
+    row = F.lit(8 * len(other))
+    for name in wide:
+        row = row + 16 + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+    return (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= most_bytes
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A column name like `name` that no column has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -62,7 +62,7 @@ def measure(data: np.ndarray, bounds: np.ndarray, max_ngram_share: dict[int, flo
     starts, ends, text = _line_bounds(data, bounds)
     has_word = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
     starts, ends, text = starts[has_word], ends[has_word], text[has_word]
-    key = V.mix(V.range_hashes(V._BYTE_VALUES[data], starts, ends) + text.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    key = V.mix(V.byte_hashes(data, starts, ends) + text.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
     order = np.argsort(key, kind="stable")
     later = np.zeros(len(key), bool)
     later[order[1:]] = key[order[1:]] == key[order[:-1]]

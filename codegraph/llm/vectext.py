@@ -2,10 +2,13 @@
 
 The scanners work on the UTF-8 bytes of many texts at once: a class table
 turns bytes into "word byte or not", edges of that mask are word bounds, and
-polynomial prefix sums (modulo 2**64) give every word, line or run of words a
-64-bit hash without a Python object per word.  Texts are cut into blocks of a
-few MB, so memory stays flat whatever an Arrow batch holds; a text is never
-split or truncated.
+polynomial prefix sums give every word or line a 64-bit hash without a Python
+object per word.  Bytes are hashed modulo the prime 2**61 - 1, where two
+different strings of n bytes agree with a chance of n / 2**61 and no family of
+strings is known that always does; runs of a few words are hashed modulo 2**64
+over the scrambled hashes of their words.  Texts are cut into blocks of a few
+MB, so memory stays flat whatever an Arrow batch holds; a text is never split
+or truncated.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -52,9 +56,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
-
-
 class _Powers:
     """Powers of the base and of its inverse, grown when a longer block comes."""
 
@@ -77,13 +78,82 @@ _POWERS = _Powers()
 
 
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each values[starts:ends]; equal content, equal hash."""
+    """64-bit hash of each values[starts:ends], runs of a few scrambled values; equal content, equal hash."""
     up, down = _POWERS.get(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+_PRIME = np.uint64((1 << 61) - 1)
+#: Bases of the byte hashes: one for 64 bits, both for 128.
+BASES = (0x0B5297A4D8E63C1F, 0x1E7F39A65C20D48B)
+#: Prefix sums are exact for ranges up to so many bytes; longer ones are hashed one by one.
+_LONG = 1 << 22
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, for values below it, in 31-bit halves."""
+    low = np.uint64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> np.uint64(31), a & low, b >> np.uint64(31), b & low
+    mid = a1 * b0 + a0 * b1
+    return _reduced((a1 * b1 << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << np.uint64(31)) + a0 * b0)
+
+
+class _PrimePowers:
+    """Powers of a base and of its inverse modulo the prime, grown by doubling."""
+
+    def __init__(self, base: int) -> None:
+        self.base, self.size = base, 0
+
+    def _table(self, base: int, n: int) -> np.ndarray:
+        table = np.ones(1, np.uint64)
+        while len(table) < n:
+            step = np.full(min(len(table), n - len(table)), np.uint64(pow(base, len(table), int(_PRIME))))
+            table = np.concatenate([table, _product(table[: n - len(table)], step)])
+        return table
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Low 32 and high 29 bits of the powers, and the inverse powers."""
+        if self.size < n:
+            size = max(n, BLOCK_BYTES + 1024)
+            up = self._table(self.base, size)
+            found = (up & np.uint64(0xFFFFFFFF)).astype(np.uint32), (up >> np.uint64(32)).astype(np.uint32), self._table(pow(self.base, -1, int(_PRIME)), size)
+            if n > 4 * BLOCK_BYTES:  # too large to keep
+                return found
+            self.found, self.size = found, len(up)
+        return self.found
+
+
+_PRIME_POWERS = [_PrimePowers(b) for b in BASES]
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """64-bit hash of each data[starts:ends]; equal bytes, equal hash.  The families are independent."""
+    low, high, inverse = _PRIME_POWERS[family].get(len(data) + 1)
+    value = data.astype(np.uint64)
+    value += np.uint64(1)
+    sums = np.zeros((2, len(data) + 1), np.uint64)
+    for row, power in zip(sums, (low, high)):
+        np.multiply(value, power[: len(data)], out=row[1:])
+        np.cumsum(row[1:], out=row[1:])
+    size = ends - starts
+    part, upper = sums[0][ends] - sums[0][starts], sums[1][ends] - sums[1][starts]
+    upper = (upper & _PRIME) + (upper >> np.uint64(61))
+    # times 2**32 is a rotation modulo the prime
+    whole = (part & _PRIME) + (part >> np.uint64(61)) + (upper >> np.uint64(29)) + ((upper & np.uint64((1 << 29) - 1)) << np.uint64(32))
+    whole = _reduced(whole)
+    out = mix(_product(whole, inverse[starts]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]], seed=BASES[family])
+    return out
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and the n + 1 bounds of its rows; null is empty."""
     if column.null_count:
@@ -115,8 +185,8 @@ class Words:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.first))
 
-    def hashes(self) -> np.ndarray:
-        return range_hashes(_BYTE_VALUES[self.data], self.starts, self.ends)
+    def hashes(self, family: int = 0) -> np.ndarray:
+        return byte_hashes(self.data, self.starts, self.ends, family)
 
     def left_in_text(self) -> np.ndarray:
         """For each word, how many words its text has from there on."""
@@ -154,7 +224,7 @@ def sum_by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Which keys occur at least twice."""
     ordered = np.sort(keys)
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    twice = distinct(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(twice):
         return np.zeros(len(keys), bool)
     at = np.searchsorted(twice, keys)
@@ -162,6 +232,30 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return twice[at] == keys
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The different keys, ascending."""
+    ordered = np.sort(keys)
+    return ordered[np.r_[True, ordered[1:] != ordered[:-1]]] if len(ordered) else ordered
+
+
+def first_ones(keys: np.ndarray) -> np.ndarray:
+    """Which keys don't occur before; a plain sort finds the few that repeat."""
+    out = np.ones(len(keys), bool)
+    at = np.flatnonzero(repeated(keys))
+    if len(at):
+        order = np.argsort(keys[at], kind="stable")
+        ordered = keys[at][order]
+        out[at[order[1:][ordered[1:] == ordered[:-1]]]] = False
+    return out
+
+
+def first_ones_of(rows: np.ndarray) -> np.ndarray:
+    """Numbers of the first of each group of equal columns of a 2-d array, in no set order."""
+    order = np.lexsort(rows)
+    ordered = rows[:, order]
+    return order[np.r_[True, (ordered[:, 1:] != ordered[:, :-1]).any(0)]] if len(order) else order
+
+
 def blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of text each, one row at least."""
     lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
