@@ -12,14 +12,17 @@ assign.  Every name with a score holds a stem and stands before its operator,
 so the lexer could add nothing to the other texts.
 
 Defined cases: null is the empty text and has no findings; spans count code
-points, ends exclusive; repeated rows each get their findings; texts of any
-length are scanned whole, in linear time.
+points, ends exclusive; repeated rows each get their findings; an empty table gives
+an empty result; texts of any length are scanned whole, in linear time:
+comments and strings that never close are looked for once, and references to
+constants are followed, not expanded.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,16 +43,19 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGNED = 6
 
 _STEM = re.compile(r"pass|pwd|secret|token|key|cred|auth", re.I | re.A)
+#: A comment by `//` does not follow a name or a colon (`http://`), one by `#` stands alone or first.
 _LEX = re.compile(
-    r"""(?P<skip>[ \t\r]+|//[^\n]*|\#[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)
+    r"""(?P<skip>[ \t\r]+|(?<![\w:])//[^\n]*|(?<!\S)\#[^\n]*)
+      | (?P<open>/\*)
       | (?P<line>\n)
-      | (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
+      | (?P<quote>["'])
       | (?P<name>[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*)
       | (?P<bare>[0-9+/_=.\-]*[0-9][\w+/=.\-]*)
       | (?P<op>:=|=>|==|!=|<=|>=|\+=|[=:+,;(){}\[\]])
       | (?P<other>.)""",
     re.X | re.A | re.S,
 )
+_BODY = {q: re.compile(rf"(?:[^{q}\\\n]|\\.)*+", re.S) for q in "\"'"}
 _STRONG = {"password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "credential", "credentials", "privatekey", "accesskey", "secretkey", "authkey"}
 _STRONG_PAIRS = {("api", "key"), ("access", "key"), ("private", "key"), ("secret", "key"), ("auth", "key"), ("signing", "key"), ("encryption", "key"), ("pass", "phrase")}
 _WEAK = {"key", "auth", "pass", "cred", "creds"}
@@ -66,15 +72,18 @@ def name_score(name: str) -> float:
     return 0.5 if any(p in _WEAK for p in parts) else 0.0
 
 
-def literal_score(value: str) -> float:
-    """Strength of a literal: 1 from about 24 bits of empirical entropy on, 2 from 64 bits on."""
-    if len(value) < MIN_ASSIGNED or _PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+def _strength(n: float, counts: dict[str, float], looks: str) -> float:
+    if n < MIN_ASSIGNED or _PLACEHOLDER.match(looks) or any(c.isspace() for c in counts):
         return 0.0
-    n = len(value)
-    bits = n * -sum(k / n * math.log2(k / n) for k in Counter(value).values())
+    bits = n * -sum(k / n * math.log2(k / n) for k in counts.values())
     return 2.0 if bits >= 64 else 1.0 if bits >= 24 else 0.0
 
 
+def literal_score(value: str) -> float:
+    """Strength of a literal: 1 from about 24 bits of empirical entropy on, 2 from 64 bits on."""
+    return _strength(len(value), Counter(value), value)
+
+
 @dataclass(frozen=True)
 class Literal:
     start: int
@@ -83,34 +92,116 @@ class Literal:
     quoted: bool
 
 
-def pairs(text: str) -> Iterator[tuple[str, tuple[Literal, ...]]]:
-    """(target name, literals that make up its value), in order of assignment."""
-    constants: dict[str, tuple[Literal, ...]] = {}
+class Value:
+    """What was assigned: literals and references to earlier values, never expanded.
+
+    Values form an acyclic graph, as a name refers to what it held before, so
+    a chain that doubles its text on every line stays as small as its lines.
+    """
+
+    __slots__ = ("parts", "figures", "marked")
+
+    def __init__(self, parts: list[Literal | Value]) -> None:
+        self.parts, self.figures, self.marked = parts, None, 0.0
+
+    def strength(self) -> float:
+        """The score of the joined literals, from their character counts, first and last characters."""
+        todo = [self]
+        while todo:
+            now = todo[-1]
+            missing = [x for x in now.parts if isinstance(x, Value) and x.figures is None] if now.figures is None else []
+            todo += missing
+            if missing:
+                continue
+            todo.pop()
+            if now.figures is None:
+                now.figures = now._joined()
+        n, counts, head, tail = self.figures
+        return _strength(n, counts, head if n <= _ENDS else head + tail)
+
+    def _joined(self) -> tuple[float, dict[str, float], str, str]:
+        n, counts, head, tail = 0.0, Counter(), "", ""
+        for x in self.parts:
+            m, more, first, last = (len(x.value), Counter(x.value), x.value[:_ENDS], x.value[-_ENDS:]) if isinstance(x, Literal) else x.figures
+            n += m
+            counts.update(more)
+            head, tail = (head + first)[:_ENDS] if len(head) < _ENDS else head, (tail + last)[-_ENDS:]
+        if n > 1e200:  # far above every limit: only the shares matter
+            n, counts = n / 1e150, Counter({c: k / 1e150 for c, k in counts.items()})
+        return n, counts, head, tail
+
+    def mark(self, score: float) -> Iterator[Literal]:
+        """The literals of this value and of all it refers to, but for values marked with this score or more."""
+        todo = [self]
+        while todo:
+            now = todo.pop()
+            if now.marked >= score:
+                continue
+            now.marked = score
+            for x in now.parts:
+                if isinstance(x, Literal):
+                    yield x
+                else:
+                    todo.append(x)
+
+
+#: Characters of a joined value's beginning and end that the placeholder patterns look at.
+_ENDS = 256
+
+
+def tokens(text: str) -> Iterator[tuple[str, str, int, int]]:
+    """(kind, word, start, end) of the lexer's tokens, in linear time.
+
+    A comment that never closes is looked for once.  A quote that doesn't close
+    is a character like others; a later one that its scan has passed, where it
+    was escaped, would scan to the same end and isn't tried again.
+    """
+    scan, closes, dead = _LEX.scanner(text), True, {'"': 0, "'": 0}
+    while m := scan.match():
+        kind, at = m.lastgroup, m.end()
+        if kind == "skip":
+            continue
+        if kind == "open" and closes:
+            end = text.find("*/", at)
+            if end >= 0:
+                scan = _LEX.scanner(text, end + 2)
+                continue
+            closes = False
+        if kind == "quote" and m.start() >= dead[m.group()]:
+            end = _BODY[m.group()].match(text, at).end()
+            if text[end : end + 1] == m.group():
+                yield "string", text[m.start() : end + 1], m.start(), end + 1
+                scan = _LEX.scanner(text, end + 1)
+                continue
+            dead[m.group()] = end
+        yield kind if kind not in ("open", "quote") else "other", m.group(), m.start(), at
+
+
+def pairs(text: str) -> Iterator[tuple[str, Value]]:
+    """(target name, its value), in order of assignment."""
+    constants: dict[str, Value] = {}
     target, value, want, joined = None, [], False, False  # want: a value may follow
 
     before: tuple[str, str] | None = None  # the last name or string, a possible target
 
     def close():
         nonlocal target, value, want
-        done = (target, tuple(value)) if target is not None and value else None
+        done = (target, Value(value)) if target is not None and value else None
         if done:
             constants[target] = done[1]
         target, value, want = None, [], False
         return done
 
-    for m in _LEX.finditer(text):
-        kind = m.lastgroup
-        if kind == "skip":
-            continue
-        word = m.group()
+    quoted = lambda x: isinstance(x, Literal) and x.quoted
+    for kind, word, start, end in tokens(text):
         if kind in ("string", "name", "bare"):
-            if target is not None and (want or joined or kind == "string" and value and value[-1].quoted and before is None):
+            if target is not None and (want or joined or kind == "string" and value and quoted(value[-1]) and before is None):
                 if kind == "string":
-                    value.append(Literal(m.start() + 1, m.end() - 1, word[1:-1], True))
+                    value.append(Literal(start + 1, end - 1, word[1:-1], True))
                 elif kind == "name" and word in constants:
-                    value.extend(constants[word])
+                    value.append(constants[word])
                 else:
-                    value.append(Literal(m.start(), m.end(), word, False))
+                    value.append(Literal(start, end, word, False))
                 want = joined = False
                 # `a: b = "c"` names a type after the colon: b may be a target itself
                 before = (kind, word) if kind == "name" else None
@@ -119,7 +210,7 @@ def pairs(text: str) -> Iterator[tuple[str, tuple[Literal, ...]]]:
                 yield done
             before = (kind, word[1:-1] if kind == "string" else word)
         elif kind == "op" and word in ("=", ":", ":=", "=>") and before:
-            typed = target is not None and word == "=" and len(value) == 1 and not value[0].quoted
+            typed = target is not None and word == "=" and len(value) == 1 and not quoted(value[0])
             name = target if typed else before[1]
             if typed:
                 value = []
@@ -146,39 +237,49 @@ def may_assign(text: str) -> bool:
     return stem is not None and max(text.rfind("="), text.rfind(":")) >= stem.end()
 
 
-def findings(text: str | None) -> list[tuple[str, int, int, float]]:
-    """(kind, start, end, score) by start, then kind as listed."""
+def findings(text: str | None) -> list[tuple[str, int, int, float, str | None]]:
+    """(kind, start, end, score, target name) by start, then kind as listed.
+
+    A literal of a sensitive target within the span of a fixed pattern adds no
+    span of its own but gives that one its name and score.
+    """
     if not text:
         return []
-    found = [("assign", m.start(), m.end(), 1.0) for m in _ASSIGN.finditer(text) if len(m.group(2)) >= MIN_ASSIGNED]
-    found += [("access", m.start(), m.end(), 1.0) for m in _ACCESS.finditer(text)] if "AKIA" in text else []
-    found += [("hex", m.start(), m.end(), 1.0) for m in _HEX.finditer(text)]
+    found = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m.group(2)) >= MIN_ASSIGNED]
+    found += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text)] if "AKIA" in text else []
+    found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
+    found.sort(key=lambda f: (f[1], KINDS.index(f[0])))
+    named: dict[tuple[str, int, int], tuple[float, str | None]] = {f: (1.0, None) for f in found}
     if may_assign(text):
-        base = [(a, b) for _, a, b, _ in found]
-        more: dict[tuple[int, int], float] = {}
-        for name, literals in pairs(text):
+        # of the spans that begin up to a place, the one that reaches furthest
+        starts, reach = [f[1] for f in found], []
+        for f in found:
+            reach.append(f if not reach or f[2] > reach[-1][2] else reach[-1])
+        for name, value in pairs(text):
             weight = name_score(name)
-            if not weight:
-                continue
-            whole = "".join(x.value for x in literals)
-            strength = weight * literal_score(whole)
+            strength = weight * value.strength() if weight else 0.0
             if strength < MIN_SCORE:
                 continue
-            for x in literals:
+            for x in value.mark(strength):
                 # a bare word counts as a secret only if it doesn't look like prose
-                if not x.quoted and not (len(x.value) >= 12 and any(c.isdigit() for c in x.value)):
+                if x.end == x.start or not x.quoted and not (len(x.value) >= 12 and any(c.isdigit() for c in x.value)):
                     continue
-                if x.end > x.start and not any(a <= x.start and x.end <= b for a, b in base):
-                    more[x.start, x.end] = max(strength, more.get((x.start, x.end), 0.0))
-        found += [("literal", a, b, s) for (a, b), s in more.items()]
-    return sorted(found, key=lambda f: (f[1], KINDS.index(f[0])))
+                at = bisect_right(starts, x.start) - 1
+                span = reach[at] if at >= 0 and reach[at][2] >= x.end else ("literal", x.start, x.end)
+                old = named.get(span)
+                if old is None or old[1] is None or strength > old[0]:
+                    named[span] = (strength, name)
+    return [(*span, *named[span]) for span in sorted(named, key=lambda f: (f[1], KINDS.index(f[0]), f[2]))]
 
 
-FINDING = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
+FINDING = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("name", T.StringType())])
 
 
 def secret_findings(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """df (or its columns `keep`) with `findings`: array of (kind, start, end, score)."""
+    """df (or its columns `keep`) with `findings`: array of (kind, start, end, score, name).
+
+    A column of df of that name is replaced.
+    """
 
     def work(part: pa.RecordBatch) -> list:
         return [[[dict(zip(FINDING.names, f)) for f in findings(t)] for t in part.column(text).to_pylist()]]
