@@ -9,13 +9,17 @@ Documents are probed with these prefix words only; a candidate start must keep
 the whole window inside the document (length and position bound), its rolling
 hash must agree, and its words are then compared exactly.
 
-The window index is broadcast if it has at most `BROADCAST_WINDOWS` windows,
-which is counted first; a larger benchmark is joined by shuffle on a 128-bit
-hash of the window instead.  Both ways give the same rows.
+The window index is broadcast if its bytes, which are counted first, are at
+most `BROADCAST_BYTES`.  For a larger benchmark the prefix words and the window
+hashes go out as two bit fields of fixed size; candidate windows that pass both
+at their prefix word and inside their document are joined with the windows by
+their exact words.  Both ways give the same rows.
 
 Defined cases: null or empty texts have no words, hit nothing and are not
 contaminated; items without words are never found; repeated items count by
-item id; repeated documents each get their row.
+item id; an item with a null id marks words but names no item; repeated
+documents each get their row; empty tables give no rows or no hits; input
+columns named n_words, n_hit or items are replaced, others may have any name.
 """
 
 from __future__ import annotations
@@ -31,11 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext as V
-from .common import stored, within
+from .common import drop, stored, unused
 
 WINDOW = 8
-#: A window takes about 100 bytes in the index, so this bounds the broadcast by some 20 MB.
-BROADCAST_WINDOWS = 200_000
+#: Bound of the broadcast index: the bytes of all words and item ids, and 200 a window.
+BROADCAST_BYTES = 32 << 20
+#: Bits of a bit field of the other way, as a power of two: 32 MB.
+FIELD_BITS = 28
 
 FIELDS = [
     T.StructField("n_words", T.LongType()),
@@ -61,7 +67,7 @@ def item_windows(items: DataFrame, item_id: str, text: str, window: int) -> Data
                 for name, a, b in zip(part.column("item_id").to_pylist(), w.first[:-1], w.first[1:]):
                     own = {tuple(words[i : i + window]) for i in range(a, max(b - window, a) + 1)} if b > a else ()
                     for gram in own:
-                        ids.append("null" if name is None else name)
+                        ids.append(name)
                         grams.append(list(gram[: b - a]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(grams, pa.list_(pa.string()))], names=["item_id", "words"])
 
@@ -78,7 +84,7 @@ class WindowIndex:
             owners.setdefault(tuple(words), []).append(item)
         spread = Counter(w for item, w in {(item, w) for item, words in rows for w in words})
         grams = sorted(owners)
-        self.items = [sorted(set(owners[g])) for g in grams]
+        self.items = [sorted({name for name in owners[g] if name is not None}) for g in grams]
         self.raw = [[w.encode() for w in g] for g in grams]
         self.length = np.array([len(g) for g in grams], np.int64)
         self.offset = np.array([min(range(len(g)), key=lambda i: (spread[g[i]], -len(g[i]), i)) for g in grams], np.int64)
@@ -131,56 +137,95 @@ def _probe(docs: DataFrame, text: str, keep: list[str], index) -> DataFrame:
     return V.with_columns(docs, text, FIELDS, work, keep)
 
 
-def _window_rows(docs: DataFrame, text: str, lengths: list[int]) -> DataFrame:
-    """(row, first word, length, 128-bit hash) of all windows of the given lengths."""
+class Bits:
+    """A set of 64-bit hashes as a bit field of fixed size: never misses one, rarely has one too many."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes >> np.uint64(64 - FIELD_BITS)
+        return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+
+    @classmethod
+    def of(cls, hashes: DataFrame) -> Bits:
+        """From the one column `h`; at most 2 ** (FIELD_BITS - 6) words come to the driver."""
+        slot = F.shiftrightunsigned("h", 64 - FIELD_BITS)
+        found = hashes.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FIELD_BITS}) & 63 as int))")).alias("bits")).toArrow()
+        words = np.zeros(1 << (FIELD_BITS - 6), np.uint64)
+        words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+        return cls(words)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in V.blocks(batch, "text", V.BLOCK_BYTES // 4):
-                w = scan(*V.utf8(part.column("text")))
-                h1, left = w.hashes(), w.left_in_text()
-                h2 = V.range_hashes(V._BYTE_VALUES[::-1][w.data], w.starts, w.ends)
-                key, text_of = part.column("row").to_numpy(zero_copy_only=False), w.text_of_word()
-                for n in lengths:
-                    at, a = V.windows(h1, left, n)
-                    b = V.range_hashes(h2, at, at + n)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[text_of[at]]), pa.array(at - w.first[text_of[at]]), pa.array(np.full(len(at), n)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["row", "first", "length", "h1", "h2"])
 
-    return docs.mapInArrow(work, "row long, first long, length long, h1 long, h2 long")
+def _hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of each window and of its prefix word, as documents are hashed."""
+    for batch in batches:
+        for part in V.blocks(batch, "gram"):
+            w = V.Words(*V.utf8(part.column("gram")), V.NON_SPACE)
+            hashes = w.hashes()
+            whole = V.range_hashes(hashes, w.first[:-1], w.first[1:])
+            prefix = hashes[w.first[:-1] + part.column("offset").to_numpy()]
+            yield pa.RecordBatch.from_arrays([part.column("gram"), pa.array(np.diff(w.first)), part.column("offset"), pa.array(whole.view(np.int64)), pa.array(prefix.view(np.int64))], names=["gram", "length", "offset", "h", "prefix"])
 
 
 def _join(docs: DataFrame, text: str, keep: list[str], windows: DataFrame) -> DataFrame:
-    """The way for a benchmark too large to broadcast."""
-    lengths = sorted(r[0] for r in windows.select(F.size("words")).distinct().collect())  # at most `window` values
-    rowed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    wanted = _window_rows(windows.select("row", F.concat_ws(" ", "words").alias("text")), "text", lengths)
-    items = windows.select("row", "item_id", F.size("words").cast("long").alias("length"))
-    wanted = wanted.join(items, ["row", "length"]).select("length", "h1", "h2", "item_id")
-    have = _window_rows(rowed.select(F.col("_row").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text")), "text", lengths)
-    found = have.join(wanted, ["length", "h1", "h2"]).groupBy("row").agg(
-        F.sort_array(F.collect_set("item_id")).alias("items"),
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", F.col("first") + F.col("length") - 1))))).cast("long").alias("n_hit"),
-    )
-
-    def count(part: pa.RecordBatch) -> list:
-        return [np.diff(scan(*V.utf8(part.column(text))).first)]
-
-    keep = [c for c in keep if c.lower() not in {f.name for f in FIELDS}]
-    counted = V.with_columns(rowed, text, FIELDS[:1], count, ["_row", *keep])
-    return counted.join(found.withColumnRenamed("row", "_row"), "_row", "left").select(
-        *keep, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
-    )
-
-
-def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """docs (or its columns `keep`) with n_words, n_hit and the sorted `items` found in each text."""
+    """The way for a benchmark too large to broadcast: prefixes and hashes as bit fields, exact words by a join."""
+    spark = docs.sparkSession
+    grams = stored(windows.select(F.concat_ws(" ", "words").alias("gram"), "item_id"), "windows")
+    words = grams.select("item_id", F.explode(F.split("gram", " ")).alias("word")).distinct().groupBy("word").agg(F.count("*").alias("spread"))
+    placed = grams.select("gram").distinct().select("gram", F.posexplode(F.split("gram", " ")).alias("offset", "word")).join(words, "word")
+    rarity = F.struct("spread", -F.octet_length("word"), "offset")
+    index = placed.groupBy("gram").agg(F.min_by("offset", rarity).cast("long").alias("offset"))
+    index = stored(index.mapInArrow(_hash_windows, "gram string, length long, offset long, h long, prefix long"), "window-index")
+    shapes = sorted((r[0], r[1]) for r in index.select("length", "offset").distinct().collect())  # at most window * window
+    fields = spark.sparkContext.broadcast((Bits.of(index.select(F.col("prefix").alias("h"))), Bits.of(index.select("h"))))
+    drop(index)
+
+    hit = T.StructType([T.StructField("first", T.LongType()), T.StructField("length", T.LongType()), T.StructField("gram", T.StringType())])
+
+    def work(part: pa.RecordBatch) -> list:
+        prefix, whole = fields.value
+        w = scan(*V.utf8(part.column(text)))
+        hashes, text_of, raw = w.hashes(), w.text_of_word(), w.data.tobytes()
+        place = np.flatnonzero(prefix(hashes))
+        low, high = w.first[text_of[place]], w.first[text_of[place] + 1]
+        found: list[list] = [[] for _ in range(len(part))]
+        for n, offset in shapes:
+            first = (place - offset)[(place - offset >= low) & (place - offset + n <= high)]
+            for i in first[whole(V.range_hashes(hashes, first, first + n))].tolist():
+                gram = b" ".join(raw[a:b] for a, b in zip(w.starts[i : i + n], w.ends[i : i + n]))
+                t = text_of[i]
+                found[t].append((i - int(w.first[t]), n, gram.decode("utf-8", "replace")))
+        return [np.diff(w.first), [[dict(zip(hit.names, h)) for h in {*f}] for f in found]]
+
+    row, hits = unused([*docs.columns, "n_words"], "row"), unused([*docs.columns, "n_words"], "hits")
+    wide = V.with_columns(docs, text, [FIELDS[0], T.StructField(hits, T.ArrayType(hit))], work, [c for c in keep if c.lower() not in {f.name for f in FIELDS}])
+    wide = stored(wide.withColumn(row, F.monotonically_increasing_id()), "documents")
+    others = [c for c in wide.columns if c not in (row, hits)]
+    met = wide.select(F.col(row).alias("row"), F.explode(hits).alias("hit")).select("row", "hit.*").join(grams, "gram")
+    # places that are hit, from merged intervals; as many as the document has at most
+    spans = F.sort_array(F.collect_set(F.struct("first", (F.col("first") + F.col("length")).alias("end"))))
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
+    covered = F.aggregate(spans, start, lambda a, x: F.struct(F.greatest(a["upto"], x["end"]).alias("upto"), (a["n"] + F.greatest(x["end"] - F.greatest(a["upto"], x["first"]), F.lit(0).cast("long"))).alias("n")))["n"]
+    r, items, n = (unused(wide.columns, c) for c in ("r", "found", "covered"))
+    found = met.groupBy(F.col("row").alias(r)).agg(F.sort_array(F.collect_set("item_id")).alias(items), covered.alias(n))
+    clean = wide.filter(F.size(hits) == 0).select(*others, F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    some = wide.filter(F.size(hits) > 0).join(found, F.col(row) == F.col(r), "left")
+    return clean.unionAll(some.select(*others, F.coalesce(F.col(n), F.lit(0)).alias("n_hit"), F.coalesce(F.col(items), F.array().cast("array<string>")).alias("items")))
+
+
+def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs (or its columns `keep`) with n_words, n_hit and the sorted `items` found in each text.
+
+    Columns of docs with these three names are replaced.
+    """
     keep = [*(docs.columns if keep is None else keep)]
     windows = item_windows(items, item_id, item_text, window)
-    spark = docs.sparkSession
-    if not within(windows, broadcast_windows):
-        return _join(docs, text, keep, stored(windows.withColumn("row", F.monotonically_increasing_id()), "windows"))
+    size = windows.agg(F.sum(F.octet_length(F.concat_ws(" ", "words")) + F.coalesce(F.octet_length("item_id"), F.lit(0)) + 200)).first()[0] or 0
+    if size > broadcast_bytes:
+        return _join(docs, text, keep, windows)
     rows = [(r[0], r[1]) for r in windows.collect()]
-    return _probe(docs, text, keep, spark.sparkContext.broadcast(WindowIndex(rows)))
+    return _probe(docs, text, keep, docs.sparkSession.sparkContext.broadcast(WindowIndex(rows)))
 
 
 def items_digest(items: F.Column) -> F.Column:
