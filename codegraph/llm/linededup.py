@@ -26,8 +26,11 @@ memory.
 
 Defined cases: null text stays null and empty text stays empty; lines without
 words never make a run by themselves; rows that repeat a doc_id with the same
-text are one document and lose the same lines; lines are known by 128-bit
-hashes; a document of very many or very long lines is a sequence like others.
+text are one document and lose the same lines, with other texts they are
+documents of their own, ordered by a hash of the text; a null doc_id comes
+first; an empty table gives an empty result; lines are known by 128-bit hashes;
+a document of very many or very long lines is a sequence like others; input
+columns named n_lines or n_deleted are replaced, others may have any name.
 """
 
 from __future__ import annotations
@@ -36,15 +39,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import drop, stored, within
+from .common import drop, stored, unused, within
 
 MIN_WORDS = 50
 _NEWLINE = 0x0A
-_OTHER_VALUES = V.mix(V._BYTE_VALUES)
 
 
 def line_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +89,7 @@ def _emit(min_words: int):
                 words = np.searchsorted(w.starts, ends) - np.searchsorted(w.starts, starts)
                 ahead, behind = windows(words, first, min_words)
                 text = np.repeat(np.arange(len(part)), np.diff(first))
-                hashes = [V.range_hashes(values[data], starts, ends).view(np.int64) for values in (V._BYTE_VALUES, _OTHER_VALUES)]
+                hashes = [V.byte_hashes(data, starts, ends, family).view(np.int64) for family in (0, 1)]
                 line = np.arange(len(starts)) - first[text]
                 yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(text)), *map(pa.array, (line, *hashes, ahead, behind))], names=["doc", "line", "h1", "h2", "ahead", "behind"])
 
@@ -107,9 +109,14 @@ def _ranks(pairs: DataFrame) -> DataFrame:
     return ranks
 
 
+def _key(doc_id: str, text: str) -> Column:
+    """What orders and tells documents: the doc_id, then a hash of the text."""
+    return F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("mark"))
+
+
 def later_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, start, length): runs of lines that are later copies; they may overlap."""
-    rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    rows = docs.select(_key(doc_id, text).alias("doc"), F.col(text).alias("text"))
     lines = stored(rows.mapInArrow(_emit(min_words), f"doc {rows.schema['doc'].dataType.simpleString()}, line long, h1 long, h2 long, ahead long, behind long"), "lines")
     level, h = _ranks(lines.select("doc", "line", "h1", "h2").distinct()), 1
     ahead = lines.filter("ahead > 0").select("doc", F.col("line").alias("start"), F.col("ahead").alias("length"))
@@ -124,10 +131,12 @@ def later_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
         tails = level.select("doc", F.col("line").alias("tail"), F.col("rank").alias("last"))
         keyed = spans.filter(F.col("length") < 2 * h).withColumn("tail", F.col("start") + F.col("length") - h)
         keyed = stored(keyed.join(tails, ["doc", "tail"]).select("doc", "start", "length", "first", "last"), "line-intervals")
+        # heads are stored, so that both sides of the join are plain exchanges and adaptive execution can split a hot passage
         heads = keyed.groupBy("length", "first", "last").agg(F.min(F.struct("doc", "start")).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        heads = stored(heads, "interval-heads")
         found.append(stored(keyed.join(heads, ["length", "first", "last"]).filter(F.struct("doc", "start") > F.col("head")).select("doc", "start", "length"), "later-copies"))
         longer = spans.filter(F.col("length") >= 2 * h).select("doc", "start", "length")
-        stale += [keyed, level]
+        stale += [keyed, heads, level]
         if within(longer, 0):
             break
         right = level.select("doc", (F.col("line") - h).alias("line"), F.col("rank").alias("h2"))
@@ -141,18 +150,39 @@ def later_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
     return out
 
 
+def _merged(spans: DataFrame) -> DataFrame:
+    """(doc, gone): the union of each document's spans as disjoint ranges of lines (start, end), ascending."""
+    ends = spans.groupBy("doc", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
+    by_start = Window.partitionBy("doc").orderBy("start")
+    before = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)
+    islands = ends.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(by_start))
+    ranges = islands.groupBy("doc", "island").agg(F.struct(F.min("start").alias("start"), F.max("end").alias("end")).alias("range"))
+    return ranges.groupBy("doc").agg(F.sort_array(F.collect_list("range")).alias("gone"))
+
+
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the later copies deleted from `text`, and n_lines and n_deleted.
 
     Columns of docs with these two names are replaced.
     """
-    gone = later_copies(docs, text, doc_id, min_words).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("start", "length")).alias("_gone"))
+    key, gone = unused(docs.columns, "key"), unused(docs.columns, "gone")
+    found = _merged(later_copies(docs, text, doc_id, min_words)).select(F.col("doc").alias(key), F.col("gone").alias(gone))
     # a merge join at every size: what it shuffles follows the input, whatever the copies come to
-    joined = docs.drop("n_lines", "n_deleted").join(gone.hint("merge"), docs[doc_id].eqNullSafe(F.col("_doc")), "left").withColumn("_lines", F.split(F.col(text), "\n"))
-    inside = lambda i: F.exists("_gone", lambda g: (g["start"] <= i) & (i < g["start"] + g["length"]))
-    kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x, i: ~inside(i)))
-    joined = joined.withColumn("_kept", kept)
-    columns = [F.array_join("_kept", "\n").alias(text) if c == text else F.col(c) for c in docs.columns if c.lower() not in ("n_lines", "n_deleted")]
-    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    n_lines = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(n("_lines"))
-    return joined.select(*columns, n_lines.alias("n_lines"), F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(n("_lines") - n("_kept")).alias("n_deleted"))
+    joined = docs.withColumn(key, _key(doc_id, text)).join(found.hint("merge"), key, "left")
+    lines = F.split(F.col(text), "\n", -1)
+    n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    n_gone = F.coalesce(F.aggregate(gone, F.lit(0).cast("long"), lambda n, g: n + g["end"] - g["start"]), F.lit(0).cast("long"))
+
+    def between(i: Column, whole: Column, ranges: Column) -> Column:
+        """The lines from the end of the range before number i to its start."""
+        low = F.when(i == 0, F.lit(0).cast("long")).otherwise(ranges[i - 1]["end"])
+        high = F.when(i == F.size(ranges), F.size(whole).cast("long")).otherwise(ranges[i]["start"])
+        return F.slice(whole, (low + 1).cast("int"), (high - low).cast("int"))
+
+    split, places = unused(docs.columns, "lines"), F.sequence(F.lit(0), F.size(gone))
+    joined = joined.withColumn(split, F.when(F.col(gone).isNotNull(), lines))
+    rest = F.array_join(F.flatten(F.transform(places, lambda i: between(i, F.col(split), F.col(gone)))), "\n")
+    left = F.when(F.col(gone).isNull(), F.col(text)).otherwise(rest)
+    columns = [left.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_deleted")]
+    return joined.select(*columns, n_lines.alias("n_lines"), n_gone.alias("n_deleted"))
