@@ -12,7 +12,7 @@ mark) with what the pre-token ends on.  Counts telescope: their sum is the
 number of tokens.
 
 States are found as texts need them (lazy determinisation) and kept in dense
-numpy tables, so all pre-tokens of a block run in lockstep.  A chunk of text is
+numpy tables of bounded size, so all pre-tokens of a block run in lockstep.  A chunk of text is
 a map from the state at its start to the state at its end plus a count; it is
 constant from the first pre-token start in the chunk on.  Chunk maps are
 composed by a parallel prefix scan, so chunks may cut pre-tokens anywhere.
@@ -29,7 +29,8 @@ import numpy as np
 
 END = "</w>"
 CHUNK = 1 << 16
-MAX_STATES = 400_000
+#: Bytes of tables and keys of the states that a worker keeps; when a step goes beyond, all states but those in use are forgotten.
+STATE_BYTES, KEY_BYTES = 224 << 20, 500
 _UNKNOWN = -1
 
 
@@ -99,16 +100,18 @@ class Transducer:
         self.names = byte_symbols()
         bodies = (t[: -len(END)] if t.endswith(END) else t for t in vocab)
         self.growing = {b[:i] for b in bodies for i in range(len(b))}  # proper prefixes of tokens
+        self.limit = STATE_BYTES
         self.reset()
 
-    def reset(self) -> None:
+    def reset(self, width: int = 64) -> None:
         self.number: dict[tuple, int] = {}
+        self.in_use = 0  # states that were kept when others were last forgotten
         self.states: list[tuple] = []
         self.symbol = np.full(256, _UNKNOWN, np.int64)  # dense numbers of the bytes that occur
         self.bytes: list[int] = []
-        self.to = np.full((1024, 64), _UNKNOWN, np.int32)
-        self.change = np.zeros((1024, 64), np.int8)
-        self.final = np.full((1024, 64), _UNKNOWN, np.int8)
+        self.to = np.full((1024, width), _UNKNOWN, np.int32)
+        self.change = np.zeros((1024, width), np.int8)
+        self.final = np.full((1024, width), _UNKNOWN, np.int8)
         self._state((("", None, 0),))
 
     def _state(self, key: tuple) -> int:
@@ -117,10 +120,24 @@ class Transducer:
             known = self.number[key] = len(self.states)
             self.states.append(key)
             if known == len(self.to):
-                more = lambda a, fill: np.concatenate([a, np.full_like(a, fill)])
+                more = lambda a, fill: np.concatenate([a, np.full_like(a[: max(1024, len(a) // 4)], fill)])
                 self.to, self.change, self.final = more(self.to, _UNKNOWN), more(self.change, 0), more(self.final, _UNKNOWN)
         return known
 
+    def _forget(self, used: np.ndarray) -> np.ndarray:
+        """Drop all states but the given ones; returns their new numbers."""
+        keys, place = np.unique(used, return_inverse=True)
+        kept = [self.states[i] for i in keys.tolist()]
+        symbol, bytes_ = self.symbol, self.bytes
+        self.reset(max(64, self.to.shape[1]))
+        self.symbol, self.bytes = symbol, bytes_
+        numbers = np.array([self._state(k) for k in kept], np.int64)
+        self.in_use = len(self.states)
+        return numbers[place]
+
+    def full(self) -> bool:
+        return len(self.states) * (6 * self.to.shape[1] + KEY_BYTES) > self.limit and len(self.states) > 2 * self.in_use
+
     def symbols(self, data: np.ndarray) -> np.ndarray:
         new = np.flatnonzero((np.bincount(data, minlength=256) > 0) & (self.symbol < 0))
         for b in new.tolist():
@@ -176,6 +193,8 @@ class Transducer:
             total[:active] += self.change[s, c]
             now[:active] = self.to[s, c]
             step += 1
+            if self.full():
+                now = self._forget(now)
         states[order], counts[order] = now, total
         return states, counts
 
@@ -191,14 +210,14 @@ class ChunkMap:
 
     The open pre-token reads symbols head_start:head_end; `closes` tells
     whether it ends there.  If the chunk begins a pre-token of its own that is
-    still open at its end, `exit` is its state and it carries no count yet
+    still open at its end, `exit` is the key of its state and it carries no count yet
     (`pending`), else exit is None.
     """
 
     head_start: int
     head_end: int
     closes: bool
-    exit: int | None
+    exit: tuple | None
     pending: int
 
 
@@ -313,8 +332,6 @@ class Counter:
     def count(self, texts: list[str], chunk: int = CHUNK) -> np.ndarray:
         """Tokens of each text, without special tokens added."""
         t = self.transducer
-        if len(t.states) > MAX_STATES:
-            t.reset()
         owner, parts = [], []
         total = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -339,7 +356,7 @@ class Counter:
         edge = (starts // chunk + 1) * chunk
         cut = ends > edge
         stop = np.where(cut, edge, ends - 1)
-        states, counts = t.run(symbols, starts, stop, np.zeros(len(starts), np.int64))
+        states, counts = t.run(symbols, starts, stop, np.zeros(len(starts), np.int64))  # state 0 is the start for good
         whole = ~cut
         done = counts[whole] + t.finish(states[whole], symbols[ends[whole] - 1])
         np.add.at(total, text_of[whole], done)
@@ -353,13 +370,15 @@ class Counter:
         if not len(starts):
             return
 
-        def run(state: int, a: int, b: int, closes: bool) -> tuple[int, int, int]:
+        def run(state: tuple, a: int, b: int, closes: bool) -> tuple[tuple, int, int]:
+            # states are carried by their keys: their numbers don't last
             last = b - 1 if closes else b
-            s, c = t.run(symbols, np.array([a]), np.array([last]), np.array([state]))
+            s, c = t.run(symbols, np.array([a]), np.array([last]), np.array([t._state(state)]))
             whole = int(c[0]) + (int(t.finish(s, symbols[last : last + 1])[0]) if closes else 0)
-            return int(s[0]), int(c[0]), whole
+            return t.states[int(s[0])], int(c[0]), whole
 
-        for a, b, state, count, text in zip(starts.tolist(), ends.tolist(), states.tolist(), counts.tolist(), text_of.tolist()):
+        keys = [t.states[i] for i in states.tolist()]
+        for a, b, state, count, text in zip(starts.tolist(), ends.tolist(), keys, counts.tolist(), text_of.tolist()):
             maps = [ChunkMap(0, 0, False, state, count)]
             for low in range((a // chunk + 1) * chunk, b, chunk):
                 high = min(low + chunk, b)
