@@ -1,29 +1,33 @@
 """Main text of web pages with site templates removed (operator 9).
 
 Pages are parsed tolerantly (unclosed and stray tags, raw text elements,
-comments, cut-off ends) into a tree, and every block element gets the hash of
-its subtree: tags and normalised text.  Spark counts, for each host, with how
-many different contents a subtree occurs; one that recurs with many contents of
-a host is a template and is deleted with all it holds.  The content of a page
-is its text before templates are removed, so copies of a page count once
-however often they come, and can't make a template of what they hold.
-
-What counts as content: elements whose tag, class or id (whole names) says
-menu, header, footer, sidebar, notice, advert, form or reader comments are not
-content, unless they wrap the article of the page.  If a page
+comments, cut-off ends) into a tree, and every block element of the whole page
+gets the hash of its subtree: tags and normalised text.  Spark counts, for each
+host, with how many different contents a subtree occurs; one that recurs with
+`MIN_PAGES` contents of a host is a template.  Templates are deleted first,
+with all they hold, inside and outside of the article: menus, headers, footers,
+notices and adverts that a site repeats go whatever they are called.  The
+content of a page is its text before templates are removed, so copies of a page
+count once however often they come, and can't make a template of what they
+hold.  A paragraph, heading, list item or table cell is never a template by
+itself, only with an element around it, as articles of a site quote one another.
+
+What a page has for itself is left to names: elements whose tag, class or id
+(whole names) says menu, header, footer, sidebar, notice, advert, form or
+reader comments are not content, unless they wrap the article of the page; nor
+are articles in articles that such a name calls comments or adverts.  If a page
 has an article (or main) element, its text is the content and everything
-outside is not; inside it, paragraphs, headings and list items are never
-templates.  Without such
-an element all of the body is content, less templates of its host.
+outside is not.  Without such an element all of the body is content.
 
 Equal (host, subtree, content) are merged before the shuffle, and counts by
 (host, subtree) before the next one, so a host with a third of all pages is no
-task's burden.  Templates are broadcast as far as they are few; else the rare
-ones are joined to the subtrees of each distinct page, never gathered by host.
+task's burden.  Templates are broadcast where their counted bytes are few; else
+they are joined to the subtrees of each distinct page, never gathered by host.
 
 Defined cases: null or empty html gives the empty text and 0; a page without
 a host in its URL counts under the host ""; repeated page ids each get their
-row.
+row; an empty table gives an empty result; no column but the three named ones
+is read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -40,8 +44,8 @@ from pyspark.sql import functions as F
 
 #: A subtree is a template of a host from so many contents on, however many the host has.
 MIN_PAGES = 5
-#: Up to here the templates are broadcast (about 100 bytes each in a worker), beyond only those that recur with HOT contents or more.
-BROADCAST_TEMPLATES, HOT = 200_000, 100_000
+#: Up to so many counted bytes the templates are broadcast.
+BROADCAST_BYTES = 16 << 20
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTR = re.compile(r"""([^\s=/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
@@ -76,7 +80,7 @@ def _hidden(tag: str, attributes: str) -> tuple[bool, bool]:
     """Whether an element is no content, and whether that holds even if it has an article inside."""
     if tag in _NEVER:
         return True, tag != "form"
-    if tag in ("html", "body") or tag in _MAIN or not attributes:
+    if tag in ("html", "body") or not attributes:
         return False, False
     hidden = False
     for name, a, b, c in _ATTR.findall(attributes):
@@ -85,12 +89,16 @@ def _hidden(tag: str, attributes: str) -> tuple[bool, bool]:
             names = value.lower().split()
             if not _CARDS.isdisjoint(names):
                 return True, True
+            if tag in _MAIN:
+                continue
             hidden = hidden or not _BOILERPLATE.isdisjoint(names)
+        elif tag in _MAIN:
+            continue
         elif name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true":
             hidden = True
         elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             hidden = True
-    return hidden or bool(re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(_ATTR, " ", attributes))), False
+    return hidden or tag not in _MAIN and bool(re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(_ATTR, " ", attributes))), False
 
 
 def parse(page: str) -> Node:
@@ -191,7 +199,7 @@ def _says(root: Node) -> bool:
     return False
 
 
-def _content_roots(root: Node) -> tuple[list[Node], bool]:
+def _content_roots(root: Node) -> list[Node]:
     """The article (else main) elements to read, or the whole page.
 
     Those that no hidden element holds go first, then those in wrappers; the
@@ -204,32 +212,53 @@ def _content_roots(root: Node) -> tuple[list[Node], bool]:
             found, todo = [], [root]
             while todo:
                 node = todo.pop()
-                if node.tag == wanted:
+                if node.tag == wanted and (not node.hidden or level == 2):
                     found.append(node)
                 elif not node.hidden or level == 2 or level == 1 and _wraps(node):
                     todo += [c for c in reversed(node.children) if isinstance(c, Node)]
             if found:
-                return found, True
-    return [root], False
+                return found
+    return [root]
+
+
+def _eligible(node: Node) -> bool:
+    """Whether a subtree may be deleted as a template: any block that is no page, article or paragraph."""
+    return not (node.tag in _INLINE or node.tag in _MAIN or node.tag in _CONTENT or node.tag in _VOID or node.tag in _RAW or node.tag in ("#root", "html", "body", "head"))
+
+
+def _subtrees(root: Node, templates: set[int] | frozenset[int]) -> tuple[set[int], int]:
+    """The hashes of the subtrees of a page that could be templates; those that are get hidden, and are counted."""
+    keys: set[int] = set()
+    found, todo = 0, [root]
+    while todo:
+        node = todo.pop()
+        if _eligible(node):
+            keys.add(node.digest)
+            if node.digest in templates and not node.holds:
+                node.hidden = node.card = True
+                found += 1
+                continue
+        todo += [c for c in node.children if isinstance(c, Node)]
+    return keys, found
+
 
+@dataclass
+class Page:
+    """Text blocks, hashes of the subtrees that could be templates, and how many templates were deleted."""
 
-def _eligible(node: Node, sheltered: bool) -> bool:
-    """Whether a subtree may be deleted as a template."""
-    if node.tag in _INLINE or node.tag in _MAIN or node.tag in ("#root", "html", "body", "br"):
-        return False
-    return not (sheltered and node.tag in _CONTENT)
+    blocks: list[str] = field(default_factory=list)
+    keys: set[int] = field(default_factory=set)
+    deleted: int = 0
 
 
-def blocks(page: str | None, templates: set[int] | frozenset[int] = frozenset()) -> tuple[list[str], set[int]]:
-    """The text blocks of a page, and the hashes of its subtrees that could be templates."""
+def read(page: str | None, templates: set[int] | frozenset[int] = frozenset()) -> Page:
     if not page:
-        return [], set()
+        return Page()
     root = parse(page)
     _digest(root)
-    roots, sheltered = _content_roots(root)
+    keys, deleted = _subtrees(root, templates)
     out: list[str] = []
     now: list[str] = []
-    keys: set[int] = set()
 
     def flush() -> None:
         text = " ".join("".join(now).split())
@@ -237,7 +266,7 @@ def blocks(page: str | None, templates: set[int] | frozenset[int] = frozenset())
             out.append(text)
         now.clear()
 
-    for top in roots:
+    for top in _content_roots(root):
         flush()
         todo: list = [top]
         while todo:
@@ -251,17 +280,12 @@ def blocks(page: str | None, templates: set[int] | frozenset[int] = frozenset())
             elif item.hidden and item is not top and (top.tag == "article" or not _wraps(item)):
                 continue
             else:
-                if _eligible(item, sheltered):
-                    keys.add(item.digest)
-                    if item.digest in templates:
-                        flush()
-                        continue
                 if item.tag not in _INLINE and item.tag not in _VOID:
                     flush()
                     todo.append(None)
                 todo += reversed(item.children)
     flush()
-    return out, keys
+    return Page(out, keys, deleted)
 
 
 def host_of(url):
@@ -273,9 +297,9 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = set()
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            texts, own = blocks(page)
-            content = xxhash.xxh64_intdigest(" ".join(texts)) - (1 << 63)
-            rows.update((host, k - (1 << 63), content) for k in own)
+            found = read(page)
+            content = xxhash.xxh64_intdigest(" ".join(found.blocks)) - (1 << 63)
+            rows.update((host, k - (1 << 63), content) for k in found.keys)
         hosts, keys, contents = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(contents, pa.int64())], names=["host", "key", "content"])
 
@@ -285,7 +309,7 @@ def _page_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = set()
         for host, digest, page in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist(), batch.column("html").to_pylist()):
-            rows.update((host, digest, k - (1 << 63)) for k in blocks(page)[1])
+            rows.update((host, digest, k - (1 << 63)) for k in read(page).keys)
         hosts, digests, keys = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.string()), pa.array(keys, pa.int64())], names=["host", "page", "key"])
 
@@ -297,34 +321,32 @@ def site_templates(pages: DataFrame, url: str = "url", html: str = "html", min_p
     return counts.filter(F.col("n") >= min_pages)
 
 
-def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, broadcast_templates: int = BROADCAST_TEMPLATES, hot: int = HOT) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
-    from .common import stored, within
+def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(page_id, url, text, n_chars, n_deleted) of every page; n_deleted counts its templates."""
+    from .common import small, stored
 
-    templates = stored(site_templates(pages, url, html, min_pages), "templates")
+    templates = stored(site_templates(pages, url, html, min_pages), "templates").select("host", "key")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    few = within(templates, broadcast_templates)
-    if few:
+    by_host: dict[str, set[int]] = {}
+    if small(templates, broadcast_bytes):
+        for r in templates.toLocalIterator():
+            by_host.setdefault(r["host"], set()).add(r["key"] + (1 << 63))
         joined = rows.withColumn("keys", F.lit(None).cast("array<long>"))
     else:
         rows = rows.withColumn("page", F.md5(F.col("html").cast("binary")))
         own = rows.select("host", "page", "html").mapInArrow(_page_keys, "host string, page string, key long").distinct()
-        rare = own.join(templates.filter(F.col("n") < hot).select("host", "key"), ["host", "key"]).groupBy("host", "page").agg(F.collect_list("key").alias("keys"))
-        joined = rows.join(rare, ["host", "page"], "left")
+        keys = own.join(templates, ["host", "key"]).groupBy("host", "page").agg(F.collect_list("key").alias("keys"))
+        joined = rows.join(keys, ["host", "page"], "left")
     joined = joined.select("page_id", "url", "html", "host", "keys")
-    by_host: dict[str, set[int]] = {}
-    for r in (templates if few else templates.filter(F.col("n") >= hot)).select("host", "key").toLocalIterator():
-        by_host.setdefault(r["host"], set()).add(r["key"] + (1 << 63))
     known = pages.sparkSession.sparkContext.broadcast(by_host)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
+            texts, deleted = [], []
             for page, host, keys in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), batch.column("keys").to_pylist()):
-                own = known.value.get(host, frozenset())
-                if keys:
-                    own = own.union(k + (1 << 63) for k in keys)
-                texts.append(" ".join(blocks(page, own)[0]))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                found = read(page, {k + (1 << 63) for k in keys} if keys else known.value.get(host, frozenset()))
+                texts.append(" ".join(found.blocks))
+                deleted.append(found.deleted)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(deleted, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_deleted"])
 
-    return joined.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return joined.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url {rows.schema['url'].dataType.simpleString()}, text string, n_chars long, n_deleted long")
