@@ -45,6 +45,7 @@ c AS (SELECT *, CAST(floor(passes + 1e-9) AS BIGINT) AS whole, floor(greatest(pa
 k AS (SELECT d.*, whole, rest, weight, md5('mix:' || (whole + 1) || ':' || doc_id) AS key FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
 r AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < rest AS more FROM k),
 x AS (SELECT doc_id, source, weight, unnest(range(1, whole + CASE WHEN more THEN 1 ELSE 0 END + 1)) AS epoch FROM r)
-SELECT doc_id, source, CAST(epoch AS BIGINT) AS epoch, substr(md5('mix:' || epoch || ':' || doc_id), 1, 3) AS block, round(weight, 9) AS weight FROM x"""
+SELECT doc_id, source, CAST(epoch AS BIGINT) AS epoch, substr(md5('mix:' || epoch || ':' || doc_id), 1, 3) AS block,
+  row_number() OVER (PARTITION BY epoch, substr(md5('mix:' || epoch || ':' || doc_id), 1, 3) ORDER BY md5('mix:' || epoch || ':' || doc_id)) AS position, round(weight, 9) AS weight FROM x"""
 
 ORACLES = {"op4_decontamination": CONTAMINATION, "op6_warc": ARCHIVE, "op7_jaccard": JACCARD, "op10_mixing": MIXING}

@@ -28,6 +28,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(secrets.count_kind(F.col("findings"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
         F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(F.col("findings")).alias("spans"),
         secrets.count_kind(F.col("findings"), "literal").alias("n_literal"),
+        F.size(F.filter("findings", lambda f: f["name"].isNotNull())).cast("long").alias("n_named"),
     )
 
 
@@ -71,7 +72,7 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.round("_weight", 9).alias("weight"))
+    return mixed.select("doc_id", "source", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_position").alias("position"), F.round("_weight", 9).alias("weight"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
