@@ -83,7 +83,7 @@ def test_contamination_both_ways(spark, docs, texts):
         words = ALNUM_WORD.findall(lower(t))
         for k in range(max(1, len(words) - 7) if words else 0):
             windows.setdefault(tuple(words[k : k + 8]), set()).add(str(i))
-    ways = [rows_of(decontam.contamination(docs, table, broadcast_windows=n)) for n in (10_000, 1)]
+    ways = [rows_of(decontam.contamination(docs, table, broadcast_bytes=n)) for n in (1 << 24, 1)]
     for i, t in enumerate(texts):
         words, hit, found = ALNUM_WORD.findall(lower(t)), set(), set()
         for n in {len(w) for w in windows}:
@@ -276,8 +276,8 @@ def test_html(spark):
     pages = [(i, "http://a.org/x", f"<body>{menu}<div>text {i}</div><p>more &amp; &eacute;</p><script>x('</p>')</script></body>") for i in range(8)]
     pages += [(20, "http://b.org", f"<body>{menu}<p>only</p></body>"), (21, None, None), (22, "", ""), (23, "http://a.org/y", "<article><h1>T</h1><p>a<br>b<p>c<div class='comments'>no</div></article><p>out"), (24, "http://a.org/z", "<b>cut <i")]
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    want = {i: f"text {i}" for i in range(8)} | {20: "Home News only", 21: "", 22: "", 23: "T a b c", 24: "cut"}
-    # a paragraph that all pages of a host share is a template of it as well
+    want = {i: f"text {i} more & é" for i in range(8)} | {20: "Home News only", 21: "", 22: "", 23: "T a b c", 24: "cut"}
+    # a paragraph that all pages of a host share stays: only elements around paragraphs are templates
     assert {k: v[0] for k, v in got.items()} == want and all(n == len(t) for t, n in got.values())
 
 
@@ -307,12 +307,11 @@ def test_html_rotating_adverts(spark):
     pages += [(400 + i, "http://plain.org", f"<p>rare</p><p>text {400 + i}</p>") for i in range(4)] + [(500 + i, "http://plain.org", "<p>copy</p>") for i in range(9)]
     want = {i: f"text {i}" for i, _, _ in pages if i < 400} | {400 + i: f"rare text {400 + i}" for i in range(4)} | {500 + i: "copy" for i in range(9)}
     assert page_texts(spark, pages) == want
-    assert page_texts(spark, pages, broadcast_templates=3) == want
-    assert page_texts(spark, pages, broadcast_templates=3, hot=100) == want
+    assert page_texts(spark, pages, broadcast_bytes=3) == want
 
 
 def test_html_wrappers():
-    text = lambda page: " ".join(html_extract.blocks(page)[0])
+    text = lambda page: " ".join(html_extract.read(page).blocks)
     article = "<article><h1>T</h1><p>one</p></article>"
     for names in ("container no-sidebar", "has-sidebar", "menu-open", "modal", "sidebar", "page menu", "Login"):
         for inner in (article, f"<main>{article}</main>", article.replace("article", "main"), f"<div>{article}</div>"):
