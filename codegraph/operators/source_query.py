@@ -24,13 +24,13 @@ def lines_with_ends(text: Column) -> Column:
     return F.filter(F.split(text, rf"(?<=\r\n)|(?<=\r)(?!\n)|(?<={LINE_END.split('|', 1)[1].replace(chr(13), '')})"), lambda x: x != "")
 
 
-def read_range(files: DataFrame, start_line: int = 1, end_line: int = 120) -> DataFrame:
+def read_range(files: DataFrame, start_line: int = 1, end_line: int = 120, most: int = MAX_LINES) -> DataFrame:
     """files(path, content) with the text of a line range, its real end, total lines and hash.
 
     A start beyond the end of a file gives null content, but line 1 of an
     empty file is the empty text.
     """
-    check_range(start_line, end_line)
+    check_range(start_line, end_line, most)
     lines = lines_with_ends(F.col("content"))
     total = F.size(lines)
     end = F.least(F.lit(end_line), total)

@@ -35,9 +35,9 @@ def bad_edges(edges: DataFrame) -> DataFrame:
 
 
 def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    ids = nodes.select("id")
-    lost = [edges.join(ids, edges[end] == ids["id"], "left_anti") for end in ("source", "target")]
-    return lost[0].unionAll(lost[1]).select("source", "type", "target").distinct()
+    """Edges with an end that no node is; both ends go through one anti join."""
+    ends = edges.select("source", "type", "target", F.explode(F.array("source", "target")).alias("id"))
+    return ends.join(nodes.select("id"), "id", "left_anti").select("source", "type", "target").distinct()
 
 
 def typed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -57,8 +57,10 @@ def duplicate_edges(edges: DataFrame) -> DataFrame:
 def revision_owners(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(revision, commit, parents, repositories, repository, uri) of all revisions."""
     revisions = nodes.filter("type = 'Revision'").select(F.col("id").alias("revision"), prop(F.col("properties"), "commit").alias("commit"))
-    above = edges.join(nodes.select(F.col("id").alias("source"), F.col("type").alias("kind"), prop(F.col("properties"), "uri").alias("uri")), "source")
-    above = above.select(F.col("target").alias("revision"), "source", "kind", "uri").distinct()
+    # only edges to revisions are of interest, and of the nodes only their sources
+    links = edges.join(revisions.select(F.col("revision").alias("target")), "target", "left_semi").select(F.col("target").alias("revision"), "source").distinct()
+    sources = nodes.join(links.select(F.col("source").alias("id")).distinct(), "id", "left_semi")
+    above = links.join(sources.select(F.col("id").alias("source"), F.col("type").alias("kind"), prop(F.col("properties"), "uri").alias("uri")), "source").distinct()
     return revisions.join(above, "revision", "left").groupBy("revision", "commit").agg(
         F.count("source").alias("parents"), F.count_if(F.col("kind") == "Repository").alias("repositories"), F.min("source").alias("repository"), F.min("uri").alias("uri")
     )
@@ -155,4 +157,4 @@ def select_graph(nodes: DataFrame, edges: DataFrame, uri: str | None = None, com
     kept, links = induced(nodes, edges, owned.select("node").unionAll(ends))
     kept, links = kept.persist(), links.persist()  # a session asks one graph many small questions
     paths = nodes.filter("type = 'File'").select(F.col("id").alias("file"), prop(F.col("properties"), "path").alias("path"))
-    return {"uri": uri, "commit": commit, "nodes": kept, "edges": links, "owners": owned.join(paths, "file")}
+    return {"uri": uri, "commit": commit, "nodes": kept, "edges": links, "owners": owned.join(paths, "file").persist()}

@@ -180,4 +180,32 @@ def graph_of(spark: SparkSession, sf_dir: str, nation: str = "NATION_7") -> dict
     kept, links = validate.induced(nodes, edges, owned.select("node").unionAll(ends))
     kept, links = kept.persist(), links.persist()  # a session asks one graph many small questions
     paths = nodes.filter("type = 'File'").select(F.col("id").alias("file"), validate.prop(F.col("properties"), "path").alias("path"))
-    return {"uri": uri, "commit": commit, "nodes": kept, "edges": links, "owners": owned.join(paths, "file")}
+    return {"uri": uri, "commit": commit, "nodes": kept, "edges": links, "owners": owned.join(paths, "file").persist()}
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A C++ file for every customer, in the shape of repository files: a class with a method, a function that calls it, in a namespace."""
+    customers = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    key, nation = F.col("c_custkey").cast("string"), F.col("n_name")
+    content = F.concat(
+        F.lit('#include "'), F.lower("c_mktsegment"), F.lit('.hpp"\n#include <vector>\nnamespace '), nation, F.lit(" {\nclass Account_"), key,
+        F.lit(" {\npublic:\n    int rate(int x) { return step_"), F.col("c_nationkey").cast("string"), F.lit("(x); }\n};\nint pay_"), key,
+        F.lit("(int x) {\n    // never_called(x);\n    return fee(bill(x));\n}\n}\n"),
+    )
+    return customers.select(F.lit("https://example.org/accounts").alias("source_uri"), nation.alias("revision"), F.concat(F.lit("src/"), key, F.lit(".cpp")).alias("path"), content.alias("content"))
+
+
+CODE_SQL = """made AS (
+  SELECT n_name AS revision, 'src/' || c_custkey || '.cpp' AS path, c_custkey AS k, lower(c_mktsegment) || '.hpp' AS header, 'step_' || c_nationkey AS step,
+    '#include "' || lower(c_mktsegment) || '.hpp"' || chr(10) || '#include <vector>' || chr(10) || 'namespace ' || n_name || ' {' || chr(10) || 'class Account_' || c_custkey || ' {' || chr(10) || 'public:' || chr(10)
+    || '    int rate(int x) { return step_' || c_nationkey || '(x); }' || chr(10) || '};' || chr(10) || 'int pay_' || c_custkey || '(int x) {' || chr(10) || '    // never_called(x);' || chr(10) || '    return fee(bill(x));' || chr(10) || '}' || chr(10) || '}' || chr(10) AS content
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+placed AS (SELECT *, strpos(content, 'int rate') - 1 AS rate_at, strpos(content, ') { return step_') AS sig_end, strpos(content, 'int pay_') - 1 AS pay_at, strpos(content, 'class Account') - 1 AS class_at,
+  strpos(content, step || '(x)') - 1 AS step_at, strpos(content, 'fee(bill') - 1 AS fee_at, strpos(content, 'bill(x)') - 1 AS bill_at, length(content) AS size FROM made),
+functions AS (
+  SELECT revision, path, revision || '::Account_' || k || '::rate' AS qualified_name, 'rate' AS name, 6 AS start_line, 6 AS end_line, rate_at AS start_byte, step_at + length(step) + 6 AS end_byte FROM placed
+  UNION ALL SELECT revision, path, revision || '::pay_' || k, 'pay_' || k, 8, 11, pay_at, size - 3 FROM placed),
+calls AS (
+  SELECT revision, path, revision || '::Account_' || k || '::rate' AS caller, step AS callee, 6 AS line, step_at AS start_byte, step_at + length(step) + 3 AS end_byte FROM placed
+  UNION ALL SELECT revision, path, revision || '::pay_' || k, 'fee', 10, fee_at, fee_at + 12 FROM placed
+  UNION ALL SELECT revision, path, revision || '::pay_' || k, 'bill', 10, bill_at, bill_at + 7 FROM placed)"""

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import chunks, classify, evidence, graph_query, queue, source_query, validate
+from ..operators import chunks, classify, evidence, extract, graph_query, projection, queue, source_query, validate
+from ..schemas import CODE_MODEL
 from . import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +101,70 @@ def safe_paths(spark, d):
     return corpus.files(spark, d).select("doc_id", odd.alias("path")).withColumn("safe", C.safe_path(F.col("path")))
 
 
+# -- extraction and projection --------------------------------------------------------------
+
+
+def _models(spark: SparkSession, d: str) -> DataFrame:
+    kept = classify.artifacts(corpus.code_files(spark, d)).filter("model_type IS NOT NULL")
+    return extract.code_models(kept).select(F.col("file.provenance.source_id").alias("source_uri"), F.col("file.provenance.snapshot_id").alias("revision"), "file.path", "file.name", "code")
+
+
+def _items(spark: SparkSession, d: str, array: str) -> DataFrame:
+    return _models(spark, d).select("revision", "path", F.explode(f"code.{array}").alias("x"))
+
+
+_SPAN = "CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, CAST(start_byte AS BIGINT) AS start_byte, CAST(end_byte AS BIGINT) AS end_byte"
+
+
+@query(f"SELECT revision, path, qualified_name, name, 'function:' || start_byte || ':' || end_byte AS id, 'int' AS return_type, {_SPAN} FROM functions", prelude=corpus.CODE_SQL)
+def extract_functions(spark, d):
+    return _items(spark, d, "functions").select("revision", "path", "x.qualified_name", "x.name", "x.id", "x.return_type", "x.span.start_line", "x.span.end_line", "x.span.start_byte", "x.span.end_byte")
+
+
+@query("SELECT revision, path, caller, callee, CAST(line AS BIGINT) AS line, 'call:' || start_byte || ':' || end_byte AS id, 'unresolved' AS resolution_status FROM calls", prelude=corpus.CODE_SQL)
+def extract_calls(spark, d):
+    return _items(spark, d, "calls").select("revision", "path", "x.caller", "x.callee", "x.line", "x.id", "x.resolution_status")
+
+
+@query("SELECT revision, path, 'Account_' || k AS name, revision || '::Account_' || k AS qualified_name, CAST(4 AS BIGINT) AS start_line, CAST(class_at AS BIGINT) AS start_byte FROM placed", prelude=corpus.CODE_SQL)
+def extract_classes(spark, d):
+    return _items(spark, d, "classes").select("revision", "path", "x.name", "x.qualified_name", "x.span.start_line", "x.span.start_byte")
+
+
+@query("SELECT revision, path, header AS target, CAST(1 AS BIGINT) AS line FROM placed UNION ALL SELECT revision, path, 'vector', 2 FROM placed", prelude=corpus.CODE_SQL)
+def extract_includes(spark, d):
+    return _items(spark, d, "includes").select("revision", "path", "x.target", F.col("x.line").cast(L).alias("line"))
+
+
+def _projected(spark: SparkSession, d: str) -> DataFrame:
+    number = F.regexp_extract("path", "([0-9]+)", 1).cast(L)
+    return _models(spark, d).select(number.alias("task_id"), F.lit(1).cast(L).alias("generation"), "source_uri", "revision", "path", "name", "code")
+
+
+_PROJECTED = corpus.CODE_SQL + """, named AS (SELECT *, regexp_extract(path, '([0-9]+)', 1) || ':1' AS file_id FROM placed),
+ fns AS (SELECT f.*, file_id, file_id || '::function:' || start_byte || ':' || end_byte AS id FROM functions f JOIN named USING (path)),
+ sites AS (SELECT c.*, fns.file_id, fns.file_id || '::call:' || c.start_byte || ':' || c.end_byte AS id, fns.id AS owner FROM calls c JOIN fns USING (path) WHERE c.caller = fns.qualified_name)"""
+_REVISION = "CAST(to_json(['https://example.org/accounts', revision]) AS VARCHAR)"
+
+
+@query(f"""SELECT 'https://example.org/accounts' AS id, 'Repository' AS label, 'https://example.org/accounts' AS name WHERE (SELECT count(*) FROM named) > 0 UNION ALL SELECT DISTINCT {_REVISION}, 'Revision', revision FROM named UNION ALL SELECT file_id, 'File', path FROM named
+ UNION ALL SELECT id, 'Function', name FROM fns UNION ALL SELECT id, 'CallSite', callee FROM sites""", prelude=_PROJECTED)
+def projection_nodes(spark, d):
+    return projection.projection_nodes(_projected(spark, d)).filter("label <> 'Class'")
+
+
+@query(f"""SELECT DISTINCT 'https://example.org/accounts' AS source, 'HAS_REVISION' AS type, {_REVISION} AS target FROM named UNION ALL SELECT {_REVISION}, 'CONTAINS', file_id FROM named
+ UNION ALL SELECT file_id, 'DEFINES', id FROM fns UNION ALL SELECT file_id, 'CONTAINS', id FROM sites UNION ALL SELECT owner, 'HAS_CALL_SITE', id FROM sites""", prelude=_PROJECTED)
+def projection_edges(spark, d):
+    return projection.projection_edges(_projected(spark, d)).filter("NOT target LIKE '%::class:%'").select("source", "type", "target")
+
+
+@query("""SELECT split_part(file_id, ':', 1) || ':1::' || caller AS source, 'CALLS' AS type, split_part(file_id, ':', 1) || ':1::' || callee AS target, CAST(line AS BIGINT) AS line FROM sites""", prelude=_PROJECTED)
+def projection_legacy_calls(spark, d):
+    old = _projected(spark, d).withColumn("code", F.col("code").withField("schema_version", F.lit(1)))
+    return projection.projection_edges(old).filter("type = 'CALLS'").select("source", "type", "target", "line")
+
+
 # -- graph building -------------------------------------------------------------------------
 
 _CORPUS_NODES = corpus.LINES_SQL + """, fid AS (SELECT *, CAST(to_json([source_uri, revision, path, CASE WHEN doc_id % 6 < 3 THEN 'code' ELSE 'document' END, CASE WHEN doc_id % 6 < 3 THEN '1' ELSE '' END]) AS VARCHAR) AS file_id FROM files WHERE doc_id % 6 < 5),
@@ -159,23 +224,27 @@ def graph_counts_by_type(spark, d):
     return one(nodes, "node").unionAll(one(edges, "edge"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS copies, CAST(count(DISTINCT (l_partkey, l_suppkey)) AS BIGINT) AS versions FROM lineitem GROUP BY ALL HAVING count(DISTINCT (l_partkey, l_suppkey)) > 1")
-def node_conflicts(spark, d):
-    return t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(n().alias("copies"), F.count_distinct(F.struct("l_partkey", "l_suppkey")).alias("versions")).filter("versions > 1")
+def _versioned(spark: SparkSession, d: str) -> DataFrame:
+    """Document records of lineitem: a file for every order and line, its text the part and supplier; rows repeat some with other texts."""
+    section = F.array(F.struct(F.lit("").alias("title"), F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("text"), F.lit(0).cast(L).alias("start_page"), F.lit(0).cast(L).alias("end_page")))
+    rows = t(spark, d, "lineitem").select(F.lit("u").alias("source_uri"), F.lit("r").alias("revision"), F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("path"), section.alias("sections"))
+    file = F.struct("path", F.lit("").alias("name"), F.lit("text/plain").alias("mime_type"), F.lit(None).cast("string").alias("language"), F.lit(0).cast(L).alias("size_bytes"), F.struct(F.col("source_uri").alias("source_id"), F.col("revision").alias("snapshot_id")).alias("provenance"))
+    return rows.select(F.col("path").alias("artifact_id"), F.lit("document").alias("model_type"), file.alias("file"), F.lit(None).cast(CODE_MODEL).alias("code"), "sections")
 
 
-@query("SELECT source_uri, content, CAST(count(*) AS BIGINT) AS copies, min(doc_id) AS first_doc FROM files GROUP BY source_uri, content HAVING count(*) > 1", prelude=corpus.FILES_SQL)
-def record_dedupe(spark, d):
-    return corpus.files(spark, d).groupBy("source_uri", "content").agg(n().alias("copies"), F.min("doc_id").alias("first_doc")).filter("copies > 1")
+@query("SELECT CAST(to_json(['u', 'r', l_orderkey || '/' || l_linenumber, 'document', '']) AS VARCHAR) AS file_id, CAST(count(DISTINCT (l_partkey, l_suppkey)) AS BIGINT) AS versions FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(DISTINCT (l_partkey, l_suppkey)) > 1")
+def node_conflicts(spark, d):
+    from ..operators import build
+
+    return build.distinct_records(_versioned(spark, d))[1].select("file_id", F.col("versions").cast(L).alias("versions"))
 
 
-@query("SELECT row_number() OVER (ORDER BY to_json([source, target, type])) AS place, source, type, target FROM edges WHERE type IN ('HAS_REVISION', 'CONTAINS') AND source[1] <> 'c'", prelude=corpus.HIERARCHY_SQL)
-def export_order(spark, d):
+@query("SELECT l_orderkey || '/' || l_linenumber AS path, l_partkey || '/' || l_suppkey AS text FROM lineitem GROUP BY ALL")
+def record_dedupe(spark, d):
     from ..operators import build
 
-    _, edges = corpus.hierarchy(spark, d)
-    top = edges.filter(F.col("type").isin("HAS_REVISION", "CONTAINS") & ~F.col("source").startswith("c"))
-    return build.placed(top.orderBy(F.to_json(F.array("source", "target", "type")))).select("place", "source", "type", "target")
+    once = build.distinct_records(_versioned(spark, d).unionAll(_versioned(spark, d)))[0]
+    return once.select("file.path", F.col("sections")[0]["text"].alias("text"))
 
 
 @query("SELECT row_number() OVER (ORDER BY to_json([source, type, target])) AS place, source, type, target FROM edges", prelude=corpus.HIERARCHY_SQL)
@@ -274,7 +343,10 @@ def induced_subgraph(spark, d):
 # -- graph queries --------------------------------------------------------------------------
 
 
-@query("SELECT s.id, s.type, CASE WHEN s.id LIKE 'c:%' THEN s.label ELSE f.label END AS path FROM sub_nodes s LEFT JOIN owned o ON s.id = o.node LEFT JOIN nodes f ON o.file = f.id", prelude=_PICK)
+@query("""SELECT 'r:' || r_regionkey AS id, 'Repository' AS type, NULL AS path FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_name = 'NATION_7' UNION ALL SELECT 'n:' || n_nationkey, 'Revision', NULL FROM nation WHERE n_name = 'NATION_7'
+ UNION ALL SELECT 'c:' || c_custkey, 'File', path FROM own UNION ALL SELECT 'o:' || o_orderkey, 'Function', path FROM bought UNION ALL SELECT site, 'CallSite', path FROM items JOIN bought ON l_orderkey = o_orderkey""", prelude="""own AS MATERIALIZED (SELECT c_custkey, c_mktsegment || '/' || c_custkey || '.cpp' AS path FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_7'),
+ bought AS MATERIALIZED (SELECT o_orderkey, path FROM orders JOIN own ON o_custkey = c_custkey),
+ """ + corpus.HIERARCHY_SQL.split(",\nnodes AS (")[0])
 def describe_symbol(spark, d):
     return graph_query.describe(corpus.graph_of(spark, d)).select("id", "type", "path")
 
@@ -379,7 +451,7 @@ def path_lengths(spark, d):
     return out.groupBy("id").agg(F.min("hops").alias("hops"))
 
 
-@query("""SELECT e1.source AS a, e1.type AS via_1, e1.target AS b, e2.type AS via_2, e2.target AS c FROM sub_edges e1 JOIN sub_edges e2 ON e1.target = e2.source WHERE e1.source = 'r:2' AND e2.target = (SELECT min(id) FROM picked)""", prelude=_PICK)
+@query("""SELECT 'r:' || n_regionkey AS a, 'HAS_REVISION' AS via_1, 'n:' || n_nationkey AS b, 'CONTAINS' AS via_2, min('c:' || c_custkey) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_7' GROUP BY ALL""")
 def shortest_path_edges(spark, d):
     graph = corpus.graph_of(spark, d)
     target = graph["nodes"].filter("type = 'File'").agg(F.min("id")).first()[0]
@@ -477,10 +549,12 @@ def chunk_points(spark, d):
     return chunks.points(tasks, "none").select("id", "task_id", "chunk", "byte_start", "byte_end", "path")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS vectors, CAST(min(len(embedding)) AS BIGINT) AS least, CAST(max(len(embedding)) AS BIGINT) AS most, CAST(0 AS BIGINT) AS bad FROM embeddings")
+@query("SELECT CAST(count(*) AS BIGINT) AS vectors, CAST(min(len(embedding)) AS BIGINT) AS least, CAST(max(len(embedding)) AS BIGINT) AS most, CAST(count(*) FILTER (len(embedding) <> 64 OR vec_id % 9 = 0) AS BIGINT) AS bad FROM embeddings")
 def embedding_checks(spark, d):
     v = t(spark, d, "embeddings")
-    bad = chunks.bad_vectors(v, "embedding", 64).agg(n().alias("bad"))
+    nan = F.transform("embedding", lambda x: F.lit(float("nan")).cast("float"))
+    spoilt = v.select(F.when(F.col("vec_id") % 9 == 0, nan).otherwise(F.col("embedding")).alias("embedding"))
+    bad = chunks.bad_vectors(spoilt, "embedding", 64).agg(n().alias("bad"))
     return v.agg(n().alias("vectors"), F.min(F.size("embedding")).cast(L).alias("least"), F.max(F.size("embedding")).cast(L).alias("most")).join(bad, F.lit(True))
 
 
@@ -568,11 +642,12 @@ def complete_guard(spark, d):
 
 
 @query(f"""SELECT id, CASE WHEN NOT ok OR id % 5 = 0 THEN status WHEN id % 5 < 3 THEN 'completed' ELSE 'failed' END AS status, CASE WHEN ok AND id % 5 >= 3 THEN {_EARLY} + INTERVAL 60 SECOND ELSE available_at END AS available_at,
- CASE WHEN ok AND id % 5 <> 0 THEN NULL ELSE claim_token END AS claim_token, CASE WHEN ok AND id % 5 >= 3 THEN 'broken' END AS last_error
+ CASE WHEN ok AND id % 5 <> 0 THEN NULL ELSE claim_token END AS claim_token, CASE WHEN ok AND id % 5 >= 3 THEN 'broken' END AS last_error,
+ CASE WHEN ok AND id % 5 <> 0 THEN NULL WHEN ok THEN {_EARLY} + INTERVAL 300 SECOND ELSE lease_until END AS lease_until
  FROM (SELECT *, coalesce(id % 3 <> 0 AND status = 'running' AND lease_until > {_EARLY}, false) AS ok FROM tasks)""", prelude=_TASKS)
 def fail_retry_state(spark, d):
     after = queue.transitions(tasks_of(spark, d), _requests(spark, d), F.expr(_EARLY.replace("TIMESTAMP", "TIMESTAMP_NTZ")))
-    return after.select("id", "status", "available_at", "claim_token", "last_error")
+    return after.select("id", "status", "available_at", "claim_token", "last_error", "lease_until")
 
 
 @query("""SELECT CAST(doc_id AS VARCHAR) AS artifact_id, 'graph' AS target, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS generation, CASE WHEN doc_id % 2 = 0 OR doc_id % 3 = 0 THEN 'pending' ELSE 'completed' END AS status FROM documents""")
@@ -584,21 +659,25 @@ def enqueue_generations(spark, d):
     return queue.enqueued(state, wanted, _now()).select("artifact_id", "target", "generation", "status")
 
 
-@query("SELECT 'place' AS rule, source || '/' || lang || '/' || left(text, 10) AS key FROM documents GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'task', user_id || '/' || CASE WHEN event_id % 2 = 0 THEN 'vector' ELSE 'graph' END FROM events GROUP BY ALL HAVING count(*) > 1")
+@query(f"""SELECT 'place' AS rule, source || '/' || lang || '/' || sha256(text) AS key FROM documents GROUP BY source, lang, text HAVING count(*) > 1
+ UNION ALL SELECT 'task', artifact_id || '/' || target FROM tasks GROUP BY artifact_id, target HAVING count(*) > 1
+ UNION ALL SELECT 'orphan', artifact_id || '/' || target FROM tasks WHERE artifact_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents)
+ UNION ALL SELECT 'state', artifact_id || '/' || target FROM tasks WHERE id % 7 = 0""", prelude=_TASKS)
 def constraint_checks(spark, d):
-    rows = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("artifact_id"), F.col("source").alias("source_uri"), F.col("lang").alias("revision"), F.left("text", F.lit(10)).alias("path"))
-    return queue.broken_constraints(rows, tasks_of(spark, d)).filter("rule IN ('place', 'task')")
+    rows = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("artifact_id"), F.col("source").alias("source_uri"), F.col("lang").alias("revision"), F.sha2(F.encode("text", "UTF-8"), 256).alias("path"))
+    odd = tasks_of(spark, d).withColumn("status", F.when(F.col("id") % 7 == 0, "lost").otherwise(F.col("status")))
+    return queue.broken_constraints(rows, odd)
 
 
 # -- evidence and evaluation ----------------------------------------------------------------
 
-_SAID = """said AS (SELECT conv_id, turn, role, text, 'see [ev-' || (turn + 1) || '] and [ev-' || (conv_id % 4) || '], [ev-' || (turn + 1) || '] ' || left(text, 20) AS answer, role || ':' || left(text, 12) AS identity FROM conversations)"""
+_SAID = """said AS (SELECT conv_id, turn, role, text, 'see [ev-' || (turn + 1) || '] and [ev-' || (conv_id % 4) || '], [ev-' || (turn + 1) || '] ' || left(text, 20) AS answer, role || ':' || md5(text) AS identity FROM conversations)"""
 
 
 def _said(spark: SparkSession, d: str) -> DataFrame:
     turn, conv = (F.col("turn") + 1).cast("string"), (F.col("conv_id") % 4).cast("string")
     answer = F.concat(F.lit("see [ev-"), turn, F.lit("] and [ev-"), conv, F.lit("], [ev-"), turn, F.lit("] "), F.left("text", F.lit(20)))
-    return t(spark, d, "conversations").select("conv_id", "turn", "role", "text", answer.alias("answer"), F.concat("role", F.lit(":"), F.left("text", F.lit(12))).alias("identity"))
+    return t(spark, d, "conversations").select("conv_id", "turn", "role", "text", answer.alias("answer"), F.concat("role", F.lit(":"), F.md5(F.encode("text", "UTF-8"))).alias("identity"))
 
 
 _CITED = "list_filter(['ev-' || (turn + 1), 'ev-' || (conv_id % 4)], lambda x, i: i = 1 OR turn + 1 <> conv_id % 4)"

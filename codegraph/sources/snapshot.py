@@ -248,7 +248,7 @@ def model_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def graph_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a graph.json after the checks of its form."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     top = raw.select(F.json_object_keys("value").alias("keys"), F.get_json_object("value", "$.schema_version").alias("version"), F.get_json_object("value", "$.nodes").alias("nodes"), F.get_json_object("value", "$.edges").alias("edges"))
     head = top.select("keys", "version", F.left("nodes", F.lit(1)).alias("n"), F.left("edges", F.lit(1)).alias("e")).first()
     if head is None or head["keys"] is None or head["version"] != "1":

@@ -1,67 +1,40 @@
-"""A small repository in three forms: sources, model records, graph."""
+"""The demonstration repository as rows and as a graph, and a graph by hand."""
 
 from __future__ import annotations
 
 import json
-import os
-import subprocess
 
-SOURCES = {
-    "helpers.hpp": "int helper();\n",
-    "helpers.cpp": '#include "helpers.hpp"\nint helper() { return 42; }\n',
-    "main.cpp": '#include "helpers.hpp"\nint run() {\n    return helper();\n}\n',
-    "other.cpp": "namespace other {\nint helper() { return 7; }\n}\n",
-    "README.md": "# demo\nrun calls helper\n",
-}
+from codegraph.demo import SOURCES, URI, make_checkout, source_files
 
+__all__ = ["SOURCES", "URI", "base_graph", "files", "graph", "make_checkout", "write_graph"]
 
-def make_checkout(root: str) -> str:
-    for name, text in SOURCES.items():
-        with open(os.path.join(root, name), "w", encoding="utf-8") as f:
-            f.write(text)
-    git = lambda *a: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@example.org", "-C", root, *a], check=True, capture_output=True)
-    git("init", "-q")
-    git("add", ".")
-    git("commit", "-qm", "one")
-    return subprocess.run(["git", "-C", root, "rev-parse", "HEAD"], check=True, capture_output=True, text=True).stdout.strip()
 
-
-def files(spark, commit: str = "c1", uri: str = "https://example.org/demo", sources: dict | None = None):
-    rows = [(uri, commit, p, t) for p, t in (sources or SOURCES).items()]
-    return spark.createDataFrame(rows, "source_uri string, revision string, path string, content string")
+def files(spark, commit: str = "c1", uri: str = URI, sources: dict | None = None):
+    return source_files(spark, commit, uri, sources)
 
 
 def graph(spark, commit: str = "c1"):
     from codegraph.operators import build, classify, extract
 
-    return build.build_graph(extract.records(classify.stored(files(spark, commit))).persist())
+    nodes, edges = build.build_graph(extract.records(classify.stored(files(spark, commit))).persist())
+    return nodes.persist(), edges.persist()  # every check and query reads them again
 
 
-def write_graph(path: str, **changes) -> None:
-    doc = {
+def base_graph() -> dict:
+    """The smallest graph that has every node type but a class, and is valid."""
+    node = lambda i, kind, **properties: {"id": i, "type": kind, "properties": properties}
+    edge = lambda source, kind, target: {"source": source, "type": kind, "target": target, "properties": {}}
+    origin = {"source_id": "u", "snapshot_id": "c"}
+    return {
         "schema_version": 1,
         "nodes": [
-            {"id": "repo", "type": "Repository", "properties": {"uri": "u"}},
-            {"id": "rev", "type": "Revision", "properties": {"commit": "c"}},
-            {"id": "f", "type": "File", "properties": {"path": "a.cpp", "name": "a.cpp", "provenance": {"source_id": "u", "snapshot_id": "c"}}},
-            {"id": "fn", "type": "Function", "properties": {"name": "run", "qualified_name": "run"}},
-            {"id": "call", "type": "CallSite", "properties": {"callee": "x"}},
+            node("repo", "Repository", uri="u"), node("rev", "Revision", commit="c"), node("f", "File", path="a.cpp", name="a.cpp", provenance=origin),
+            node("fn", "Function", name="ebb", qualified_name="ebb"), node("call", "CallSite", callee="x"),
         ],
-        "edges": [
-            {"source": "repo", "type": "HAS_REVISION", "target": "rev", "properties": {}},
-            {"source": "rev", "type": "CONTAINS", "target": "f", "properties": {}},
-            {"source": "f", "type": "DEFINES", "target": "fn", "properties": {}},
-            {"source": "f", "type": "CONTAINS", "target": "call", "properties": {}},
-            {"source": "fn", "type": "HAS_CALL_SITE", "target": "call", "properties": {}},
-        ],
-    } | changes
-    with open(path, "w", encoding="utf-8") as out:
-        json.dump(doc, out)
+        "edges": [edge("repo", "HAS_REVISION", "rev"), edge("rev", "CONTAINS", "f"), edge("f", "DEFINES", "fn"), edge("f", "CONTAINS", "call"), edge("fn", "HAS_CALL_SITE", "call")],
+    }
 
 
-def base_graph() -> dict:
-    import tempfile
-
-    with tempfile.NamedTemporaryFile("r", suffix=".json") as f:
-        write_graph(f.name)
-        return json.load(f)
+def write_graph(path: str, **changes) -> None:
+    with open(path, "w", encoding="utf-8") as out:
+        json.dump(base_graph() | changes, out)
