@@ -13,8 +13,9 @@ rows that adaptive execution can split.
 
 Defined cases: null html is the empty payload; repeated page ids with one
 payload are alike (both response, if theirs is the smallest id); a null page
-id comes after all others; control characters in a URL are percent-encoded; a
-null URL has no target field.
+id comes after all others; control characters (0x00 to 0x1F, 0x7F) in a URL are
+percent-encoded; a null URL has no target field; an empty table gives an empty
+archive; no column but the three named ones is read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ CRLF = "\r\n"
 #: RFC 4648 base32 against the digits of base 32 as a number.
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+_CONTROL = r"[\x00-\x1f\x7f]"
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -43,7 +45,9 @@ def _field(name: str, value: Column) -> Column:
 def _header(page_id: Column, url: Column, digest: Column, size: Column, revisit: Column, head: Column) -> tuple[Column, Column]:
     """The WARC header block and the HTTP header block of a record."""
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size.cast("string"), F.lit(CRLF + CRLF))
-    safe = F.replace(F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit("\0"), F.lit("%00"))
+    # a control character in a URL could end its field
+    encoded = F.array_join(F.transform(F.split(url, ""), lambda c: F.when(c.rlike(_CONTROL), F.concat(F.lit("%"), F.lpad(F.hex(c), 2, "0"))).otherwise(c)), "")
+    safe = F.when(url.rlike(_CONTROL), encoded).otherwise(url)
     name = F.coalesce(page_id.cast("string"), F.lit("null"))
     warc = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),

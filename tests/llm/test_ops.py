@@ -196,7 +196,7 @@ def test_line_runs(spark, docs, texts):
 
 
 def test_warc(spark):
-    pages = [(i, f"http://h/{i}", h) for i, h in enumerate(["<p>é</p>", None, "", "<p>é</p>", "x" * 9000, "y", "y", "<p>é</p>"])] + [(20, None, "z"), (21, "http://h/\r\nEvil: 1", "q")]
+    pages = [(i, f"http://h/{i}", h) for i, h in enumerate(["<p>é</p>", None, "", "<p>é</p>", "x" * 9000, "y", "y", "<p>é</p>"])] + [(20, None, "z"), (21, "http://h/\r\nEvil: 1", "q"), (22, "http://h/\x01é\x7f\t", "r")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
     for least in (0, 3):
         path = fresh_path(spark, "warc")
@@ -211,6 +211,7 @@ def test_warc(spark):
             block = bytes(r["record"])
             assert block.endswith((b"" if revisit else raw) + b"\r\n\r\n") and b"Evil: 1\r\n" not in block.replace(b"%0D%0AEvil: 1\r\n", b"")
             assert f"Content-Length: {len(r['http'].encode()) + (0 if revisit else len(raw))}\r\n".encode() in block
+        assert "WARC-Target-URI: http://h/%01é%7F%09\r\n" in got[22]["header"] and "WARC-Target-URI: http://h/%0D%0AEvil: 1\r\n" in got[21]["header"]
         assert spark.read.parquet(path + "/payloads").count() == len(heads)
 
 
