@@ -7,7 +7,9 @@ is a lazy DataFrame program unless a docstring says otherwise.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -22,7 +24,9 @@ def ship(spark) -> None:
     if getattr(context, "_codegraph_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="codegraph-"), "codegraph.zip")
+    folder = tempfile.mkdtemp(prefix="codegraph-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "codegraph.zip")
     with zipfile.ZipFile(path, "w") as archive:
         for folder, _, names in os.walk(root):
             for name in names:

@@ -86,6 +86,11 @@ def symbols_of(graph: dict) -> DataFrame:
     return describe(graph).withColumns({"name": text("name"), "qualified_name": text("qualified_name"), "signature": text("signature"), "own_path": text("path")})
 
 
+def name_index(symbols: DataFrame, column: str = "name") -> DataFrame:
+    """(name, n): how many symbols of a graph bear each name; an index that tells ambiguous ones."""
+    return symbols.filter(F.col(column) != "").groupBy(F.col(column).alias("name")).agg(F.count("*").alias("n"))
+
+
 def find_symbols(graph: dict, query: str, path_filter: str = "", limit: int = 10) -> dict:
     """matches (a DataFrame in rank order), ambiguous and truncated."""
     found = symbol_scores(symbols_of(graph), query, path_filter)
@@ -107,15 +112,23 @@ def steps(edges: DataFrame, frontier: DataFrame, allowed: list[str], direction:
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def reach(graph: dict, start: str, allowed: list[str], direction: str = "out", depth: int = 1) -> DataFrame:
-    """All nodes within `depth` hops of start, itself included, without a limit."""
+def levels(graph: dict, start: str, allowed: list[str], direction: str = "out", depth: int = 1) -> DataFrame:
+    """(node, hops) of all nodes within `depth` hops of start, itself included, without a limit."""
     known(graph, start)
-    frontier = visited = graph["nodes"].sparkSession.createDataFrame([(start,)], "node string")
-    for _ in range(depth):
+    frontier = graph["nodes"].sparkSession.createDataFrame([(start,)], "node string")
+    visited = frontier.withColumn("hops", F.lit(0).cast("long"))
+    for hop in range(1, depth + 1):
         found = steps(graph["edges"], frontier, allowed, direction).select(F.col("neighbor").alias("node")).distinct()
         frontier = found.join(visited, "node", "left_anti").persist()
-        visited = visited.unionAll(frontier)
-    return describe(graph).join(visited.withColumnRenamed("node", "id"), "id", "left_semi")
+        if frontier.isEmpty():
+            break
+        visited = visited.unionAll(frontier.withColumn("hops", F.lit(hop).cast("long")))
+    return visited
+
+
+def reach(graph: dict, start: str, allowed: list[str], direction: str = "out", depth: int = 1) -> DataFrame:
+    """The nodes within `depth` hops of start."""
+    return describe(graph).join(levels(graph, start, allowed, direction, depth).withColumnRenamed("node", "id"), "id", "left_semi")
 
 
 def neighborhood(graph: dict, start: str, allowed: list[str], direction: str = "out", depth: int = 1, limit: int = 30) -> dict:
@@ -182,6 +195,16 @@ def shortest_path(graph: dict, source: str, target: str, allowed: list[str], max
         levels.append(level)
         if truncated:
             break
+    if target in levels[-1] and target != source and len(levels) <= max_hops and not truncated:
+        # the nodes found before the target are expanded before its turn comes, which may use up the visits
+        ahead = list(levels[-1])[: list(levels[-1]).index(target)]
+        if ahead:
+            frontier = spark.createDataFrame([(n, i) for i, n in enumerate(ahead)], "node string, place long")
+            old = spark.createDataFrame([(n,) for n in seen], "neighbor string")
+            fresh = steps(graph["edges"], F.broadcast(frontier), allowed).join(F.broadcast(old), "neighbor", "left_anti").select("neighbor").distinct()
+            truncated = fresh.limit(max_visited + 1 - len(seen)).count() > max_visited - len(seen)
+            if truncated:
+                return {"nodes": None, "edges": None, "found": False, "truncated": True, "max_hops": max_hops, "visited": max_visited}
     if target in levels[-1] and not (truncated and target != source):
         path, at = [], target
         for level in reversed(levels[1:]):

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import chunks, classify, evidence, extract, graph_query, projection, queue, source_query, validate
 from ..schemas import CODE_MODEL
+from ..sources import snapshot
 from . import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,9 +90,29 @@ def percent_encode(spark, d):
     return t(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/?#:]*)", 1).alias("host"), C.percent_encode(F.col("url")).alias("encoded"))
 
 
-@query("SELECT url, regexp_full_match(url, 'https://[a-z.]+/(en|fr)/[0-9]+/?') AS valid FROM pages")
+_ADDRESS = "'https://github.com/' || replace(regexp_extract(url, '^https?://([^/?#:]*)', 1), '.', CASE WHEN page_id % 5 = 0 THEN '.' ELSE '-' END) || '/p' || page_id || CASE page_id % 4 WHEN 0 THEN '.git' WHEN 1 THEN '/' WHEN 2 THEN '/tree' ELSE '' END"
+
+
+@query(f"""SELECT page_id, CASE WHEN ok THEN string_split(address, '/')[4] || ' p' || page_id END AS repository FROM (SELECT page_id, {_ADDRESS} AS address, page_id % 5 <> 0 AND page_id % 4 <> 2 AS ok FROM pages)""")
 def url_grammar(spark, d):
-    return t(spark, d, "pages").select("url", F.col("url").rlike("^https://[a-z.]+/(en|fr)/[0-9]+/?$").alias("valid"))
+    """Repository addresses made of page addresses, through the parser of sources."""
+
+    @F.pandas_udf("string")
+    def parsed(addresses: pd.Series) -> pd.Series:
+        def one(address: str) -> str | None:
+            try:
+                return " ".join(snapshot.parse_repository(address))
+            except classify.BadInput:
+                return None
+
+        return addresses.map(one)
+
+    host = F.regexp_extract("url", "^https?://([^/?#:]*)", 1)
+    owner = F.when(F.col("page_id") % 5 == 0, host).otherwise(F.replace(host, F.lit("."), F.lit("-")))
+    k = F.col("page_id") % 4
+    tail = F.when(k == 0, ".git").when(k == 1, "/").when(k == 2, "/tree").otherwise("")
+    address = F.concat(F.lit("https://github.com/"), owner, F.lit("/p"), F.col("page_id").cast("string"), tail)
+    return t(spark, d, "pages").select("page_id", parsed(address).alias("repository"))
 
 
 @query("""SELECT doc_id, path, NOT (path LIKE '/%' OR list_contains(string_split(path, '/'), '..') OR list_contains(string_split(path, '/'), '.git')) AS safe FROM
@@ -298,10 +320,10 @@ def bad_revisions(spark, d):
     return validate.bad_revisions(corpus.hierarchy(spark, d)[0], corpus.corrupted(spark, d)[1])
 
 
-@query("SELECT target AS file, CAST(count(DISTINCT source) AS BIGINT) AS parents FROM bad_edges WHERE target LIKE 'c:%' AND source LIKE 'n:%' GROUP BY target HAVING count(DISTINCT source) > 1", prelude=corpus.CORRUPTED_SQL)
+@query("SELECT target AS file, CAST(count(DISTINCT source) AS BIGINT) AS parents FROM bad_edges WHERE target LIKE 'c:%' GROUP BY target HAVING count(DISTINCT source) > 1", prelude=corpus.CORRUPTED_SQL)
 def multi_parent_files(spark, d):
-    edges = corpus.corrupted(spark, d)[1].filter(F.col("source").startswith("n:"))
-    return validate.shared_files(edges, edges.select(F.col("target").alias("file")).distinct())
+    nodes, edges = corpus.hierarchy(spark, d)[0], corpus.corrupted(spark, d)[1]
+    return validate.shared_files(edges, nodes.filter("type = 'File'").select(F.col("id").alias("file")))
 
 
 @query("""SELECT 'c:' || c_custkey AS id, c_mktsegment || '/' || c_custkey || '.cpp' AS path, false AS same_provenance FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name <> 'NATION_7'""")
@@ -360,7 +382,7 @@ def graph_status(spark, d):
 @query("SELECT o.node, o.file, f.label AS path FROM owned o JOIN nodes f ON o.file = f.id", prelude=_OWNED)
 def symbol_owner(spark, d):
     nodes, edges = corpus.hierarchy(spark, d)
-    owned = edges.filter(F.col("source").startswith("c:")).select(F.col("target").alias("node"), F.col("source").alias("file")).distinct()
+    owned = validate.owners(edges, nodes.filter("type = 'File'").select(F.col("id").alias("file"))).filter("node <> file")
     return owned.join(nodes.filter("type = 'File'").select(F.col("id").alias("file"), validate.prop(F.col("properties"), "path").alias("path")), "file").select("node", "file", "path")
 
 
@@ -379,6 +401,12 @@ def find_symbols_terms(spark, d):
     return _scores(spark, d, "the in the")
 
 
+@query(f"SELECT * FROM ({_score_sql('and the one', ['and', 'the', 'one'])}) WHERE score > 0", prelude=corpus.SYMBOLS_SQL)
+def find_symbols_folded(spark, d):
+    """With full case folding, which these terms can't tell from lower case."""
+    return graph_query.symbol_scores(corpus.symbols(spark, d), "and the one").select("id", "type", "score")
+
+
 @query(f"SELECT * FROM ({_score_sql('The', ['the'])}) WHERE score = 1000", prelude=corpus.SYMBOLS_SQL)
 def find_symbols_exact(spark, d):
     return _scores(spark, d, "The").filter("score = 1000")
@@ -396,7 +424,7 @@ def top_k_symbols(spark, d):
 
 @query("SELECT name, CAST(count(*) AS BIGINT) AS n FROM symbols WHERE name <> '' GROUP BY name HAVING count(*) > 1", prelude=corpus.SYMBOLS_SQL)
 def ambiguous_names(spark, d):
-    return corpus.symbols(spark, d).filter("name <> ''").groupBy("name").agg(n().alias("n")).filter("n > 1")
+    return graph_query.name_index(corpus.symbols(spark, d)).filter("n > 1")
 
 
 def _hops(direction: str) -> Query:
@@ -442,13 +470,8 @@ def neighborhood_truncated(spark, d):
 
 @query(f"""SELECT id, min(depth) AS hops FROM (SELECT * FROM (WITH RECURSIVE {_PICK}, reach AS (SELECT 'r:2' AS id, 0 AS depth UNION SELECT e.target, depth + 1 FROM reach JOIN sub_edges e ON e.source = reach.id WHERE depth < 6) SELECT id, CAST(depth AS BIGINT) AS depth FROM reach)) GROUP BY id""")
 def path_lengths(spark, d):
-    graph = corpus.graph_of(spark, d)
-    level = spark.createDataFrame([("r:2", 0)], "id string, hops long")
-    out = level
-    for hop in range(1, 5):
-        level = graph["edges"].join(level, graph["edges"]["source"] == level["id"]).select(F.col("target").alias("id"), F.lit(hop).cast(L).alias("hops")).distinct().persist()
-        out = out.unionAll(level)
-    return out.groupBy("id").agg(F.min("hops").alias("hops"))
+    found = graph_query.levels(corpus.graph_of(spark, d), "r:2", graph_query.relation_set(None), "out", 4)
+    return found.select(F.col("node").alias("id"), "hops")
 
 
 @query("""SELECT 'r:' || n_regionkey AS a, 'HAS_REVISION' AS via_1, 'n:' || n_nationkey AS b, 'CONTAINS' AS via_2, min('c:' || c_custkey) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_7' GROUP BY ALL""")
@@ -573,11 +596,16 @@ def latest_wins_upsert(spark, d):
     return queue.upserted(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), ["user_id", "event_type"], "event_id")
 
 
-@query("""SELECT user_id, event_type, event_id FROM (SELECT *, lag(value) OVER w AS old, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id)) WHERE k = 1 OR old IS DISTINCT FROM value""")
+@query("""SELECT CAST(user_id AS VARCHAR) AS artifact_id, event_type AS target, CASE WHEN arg_max(value, event_id) FILTER (event_id % 2 = 0) IS DISTINCT FROM arg_max(value, event_id) FILTER (event_id % 2 = 1) THEN 2 ELSE 1 END::BIGINT AS generation
+ FROM events GROUP BY ALL HAVING count(*) FILTER (event_id % 2 = 0) > 0 AND count(*) FILTER (event_id % 2 = 1) > 0""")
 def changed_payloads(spark, d):
-    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    e = t(spark, d, "events").withColumn("old", F.lag("value").over(w)).withColumn("k", F.row_number().over(w))
-    return e.filter((F.col("k") == 1) | ~F.col("old").eqNullSafe(F.col("value"))).select("user_id", "event_type", "event_id")
+    """The latest even event of a key as its state, the latest odd one as what is wanted: a changed value is a new generation."""
+    keys = [F.col("user_id").cast("string").alias("artifact_id"), F.col("event_type").alias("target")]
+    side = lambda odd: queue.latest(t(spark, d, "events").filter(F.col("event_id") % 2 == odd).select(*keys, F.col("value").alias("payload"), "event_id"), ["artifact_id", "target"], "event_id").drop("event_id")
+    state = side(0).select("*", F.lit(1).cast(L).alias("generation"), F.lit("completed").alias("status"), F.lit(1).alias("attempts"), F.lit(None).cast(L).alias("claim_token"), F.lit(None).cast("timestamp_ntz").alias("lease_until"), _now().alias("available_at"))
+    after = queue.enqueued(state, side(1), _now())
+    both = side(0).select("artifact_id", "target").join(side(1).select("artifact_id", "target"), ["artifact_id", "target"])
+    return after.join(both, ["artifact_id", "target"]).select("artifact_id", "target", "generation")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS artifact_id, target FROM documents, (VALUES ('vector'), ('graph')) v(target)")

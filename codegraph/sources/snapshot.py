@@ -195,9 +195,13 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
         """Unsupported paths stay as rows without content, to be counted as skipped."""
-        client = GithubClient(self.transport, self.token)
+        client, fetched = GithubClient(self.transport, self.token), 0
         for path, sha in partition.entries:
-            yield self.uri, partition.revision, path, client.blob(partition.base, sha) if supported_path(path) else ""
+            content = client.blob(partition.base, sha) if supported_path(path) else ""
+            fetched += len(content.encode())
+            if fetched > MAX_SNAPSHOT_BYTES:  # whatever sizes the tree declared
+                raise BadInput("snapshot over 64 MiB")
+            yield self.uri, partition.revision, path, content
 
 
 def github_source(transport: Transport | None = None, token: str = "") -> type[DataSource]:

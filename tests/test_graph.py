@@ -99,6 +99,13 @@ def test_selection_and_queries(spark, tmp_path):
     assert not graph_query.shortest_path(graph, "repo", "call", ["HAS_REVISION", "CONTAINS"], 2)["found"]
     assert graph_query.shortest_path(graph, "f", "f", ["CONTAINS"], 1)["found"]
     assert graph_query.shortest_path(graph, "repo", "call", ["HAS_REVISION", "CONTAINS"], 9, max_visited=2)["truncated"]
+    # what is found before the target is expanded first, and may use up the visits
+    hub = spark.createDataFrame([("s", i) for i in ("a", "t")] + [("a", i) for i in "xyz"], "source string, target string").selectExpr("source", "'CONTAINS' type", "target", "'{}' properties")
+    ends = spark.createDataFrame([(i,) for i in "satxyz"], "id string").selectExpr("id", "'File' type", "'{}' properties")
+    wide = graph | {"nodes": ends, "edges": hub, "owners": graph["owners"].limit(0)}
+    seen = [graph_query.shortest_path(wide, "s", "t", ["CONTAINS"], hops, most) for hops, most in ((1, 3), (2, 6), (2, 5), (2, 3))]
+    assert [(p["found"], p["truncated"]) for p in seen] == [(True, False), (True, False), (False, True), (False, True)] and seen[2]["visited"] == 5
+    assert [tuple(r) for r in graph_query.levels(wide, "s", ["CONTAINS"], "out", 5).orderBy("hops", "node").collect()] == [("s", 0), ("a", 1), ("t", 1), ("x", 2), ("y", 2), ("z", 2)]
     with pytest.raises(BadInput):
         graph_query.neighborhood(graph, "nobody", ["CONTAINS"])
     with pytest.raises(NotImplementedError):
