@@ -119,7 +119,7 @@ def test_secrets(spark):
 def test_secrets_gate(monkeypatch):
     value = "Xk93kd8sLq02mZpT"
     for t in (f'private_key         = "{value}"', f'passphrase          : "{value}"', f'pwd /* prod */ = "{value}"'):
-        assert [t[a:b] for kind, a, b, _ in secrets.findings(t) if kind == "literal"] == [value]
+        assert [t[a:b] for kind, a, b, *_ in secrets.findings(t) if kind == "literal"] == [value]
     names = ["private_key", "passphrase", "pwd", "MY.Credential", "clientAuthKey", "accessKey", "pass_phrase", "creds", "k" * 80 + "_pwd", "pwd_" + "k" * 80]
     gaps = ["", " ", " " * 9, "\t" * 40, " /* prod */ ", " /* a\n b */ ", "\r ", "  /* x */ /* y */  "]
     texts = [f'{left}{name}{right}{gap}{op} "{value}"' for name in names for left, right in (("", ""), ('"', '"'), ('s["', '"]'), ('"my ', ' of all"')) for gap in gaps for op in ("=", ":", ":=", "=>")]
