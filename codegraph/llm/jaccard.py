@@ -194,7 +194,7 @@ def _emit_parts(text: str, shingle: int, percent: int, targets: int):
                     if s.size[i] and name not in seen:
                         seen.add(name)
                         fresh.append(i)
-                if len(seen) > 200_000:
+                if len(seen) > 50_000:
                     seen.clear()
                 found = [_part_keys(s, chosen, band, bands, limit) for band, chosen, limit in roles(s, np.array(fresh, np.int64), bands)]
                 if not found:

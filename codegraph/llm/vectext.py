@@ -56,6 +56,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Tables of powers grow in steps of so many.
+_STEP = 1 << 18
+
+
 class _Powers:
     """Powers of the base and of its inverse, grown when a longer block comes."""
 
@@ -64,7 +68,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, BLOCK_BYTES + 1024)
+            size = -(-n // _STEP) * _STEP
             up, down = np.full(size, _BASE), np.full(size, _BASE_INV)
             up[0] = down[0] = 1
             self.up, self.down = np.cumprod(up), np.cumprod(down)
@@ -121,7 +125,7 @@ class _PrimePowers:
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Low 32 and high 29 bits of the powers, and the inverse powers."""
         if self.size < n:
-            size = max(n, BLOCK_BYTES + 1024)
+            size = -(-n // _STEP) * _STEP
             up = self._table(self.base, size)
             found = (up & np.uint64(0xFFFFFFFF)).astype(np.uint32), (up >> np.uint64(32)).astype(np.uint32), self._table(pow(self.base, -1, int(_PRIME)), size)
             if n > 4 * BLOCK_BYTES:  # too large to keep
