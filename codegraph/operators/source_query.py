@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import LINE_END, casefold, lines_of, newline_count, walk_key
+from ..storage import stored
 from .classify import BadInput
 
 MAX_LINES, MAX_FILE_BYTES, MAX_SEARCH_FILES, MAX_SEARCH_BYTES, EXCERPT = 200, 2 << 20, 5000, 10 << 20, 1000
@@ -55,16 +56,30 @@ def walked(files: DataFrame, max_files: int = MAX_SEARCH_FILES, max_bytes: int =
     """files(path, content, …) of a walk with what the budgets admit.
 
     `searched` is false for unreadable files (they use up the file budget
-    only) and from the first file on that is over a budget (`stopped`).
+    only) and from the first file on that is over a budget (`stopped`).  The
+    contents are not among the columns that come back.
+
+    Files are dealt by ranges of the walk; each range has its own running
+    totals and adds those of the ranges before, so no task sees a whole walk.
     """
-    order = Window.partitionBy(*map(F.col, partition)).orderBy(walk_key(F.col("path"))) if partition else Window.orderBy(walk_key(F.col("path")))
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
     size = F.octet_length("content").cast("long")
-    readable = (size <= max_file_bytes) & ~F.col("content").contains("\0")
-    out = files.withColumn("readable", F.coalesce(readable, F.lit(False))).withColumn("file_number", F.row_number().over(order))
-    out = out.withColumn("bytes", F.sum(F.when(F.col("readable"), size).otherwise(0)).over(running))
-    over = (F.col("file_number") > max_files) | (F.col("bytes") > max_bytes)
-    return out.withColumn("stopped", F.max(over).over(running)).withColumn("searched", F.col("readable") & ~F.col("stopped"))
+    readable = F.coalesce((size <= max_file_bytes) & ~F.col("content").contains("\0"), F.lit(False))
+    kept = [c for c in files.columns if c != "content"]
+    plain = files.select(*kept, readable.alias("readable"), F.when(readable, size).otherwise(0).alias("_size"), walk_key(F.col("path")).alias("_key"))
+    deal = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the number of the range is stored, as a second sampling could draw other bounds
+    ranges = stored(plain.repartitionByRange(deal, *partition, "_key").withColumn("_range", F.spark_partition_id()), "walk")
+    walk = [*partition, "_range"]
+    totals = ranges.groupBy(*walk).agg(F.count("*").alias("_files"), F.sum("_size").alias("_bytes"))
+    before = Window.partitionBy(*partition).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = totals.select(*(F.col(c).alias(f"_{c}_") for c in walk), F.coalesce(F.sum("_files").over(before), F.lit(0)).alias("_files"), F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_bytes"))
+    order = Window.partitionBy(*walk).orderBy("_key")
+    out = ranges.withColumns({"_number": F.row_number().over(order), "_sum": F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in walk]
+    out = out.join(F.broadcast(totals), same).withColumns({"file_number": F.col("_number") + F.col("_files"), "bytes": F.col("_sum") + F.col("_bytes")})
+    # both totals only grow along the walk, so the first file over a budget stops all behind it
+    stopped = (F.col("file_number") > max_files) | (F.col("bytes") > max_bytes)
+    return out.select(*kept, "readable", "file_number", "bytes", stopped.alias("stopped"), (F.col("readable") & ~stopped).alias("searched"))
 
 
 def matches(files: DataFrame, query: str, path_filter: str = "", excerpt: int = EXCERPT, exact_fold: bool = False) -> DataFrame:
@@ -81,7 +96,7 @@ def search(files: DataFrame, query: str, path_filter: str = "", limit: int = 20,
     """The first `limit` matches in walk order, with what was skipped and whether more exists."""
     kept = files.filter(F.col("path").contains(path_filter)) if path_filter else files
     walk = walked(kept, **budgets)
-    found = matches(walk.filter("searched"), query, exact_fold=True).orderBy(walk_key(F.col("path")), "line").limit(limit + 1)
+    found = matches(kept.join(walk.filter("searched").select("path"), "path", "left_semi"), query, exact_fold=True).orderBy(walk_key(F.col("path")), "line").limit(limit + 1)
     rows = found.collect()
     counts = walk.agg(F.count_if(~F.col("readable") & ~F.col("stopped")).alias("skipped"), F.max("stopped").alias("stopped"), F.count_if("searched").alias("searched")).first()
     return {"matches": rows[:limit], "truncated": len(rows) > limit or bool(counts["stopped"]), "files_searched": counts["searched"], "files_skipped": counts["skipped"]}
