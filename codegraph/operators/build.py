@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import identity
 from .classify import BadInput, fail_on
@@ -52,12 +55,33 @@ def with_file_id(records: DataFrame) -> DataFrame:
     return records.withColumn("file_id", identity(f["provenance"]["source_id"], f["provenance"]["snapshot_id"], f["path"], F.col("model_type"), version))
 
 
+def _leaves(kind: T.StructType, at: Column | None = None) -> list[Column]:
+    """A struct's fields, those of structs inside it in their place, each with whether it is null."""
+    out = []
+    for f in kind.fields:
+        own = F.col(f"`{f.name}`") if at is None else at[f.name]
+        out += [own.isNull(), *_leaves(f.dataType, own)] if isinstance(f.dataType, T.StructType) else [own]
+    return out
+
+
+def _rebuilt(kind: T.DataType, at: Iterator[int]) -> Column:
+    """The column whose leaves are numbered from the next of `at` on."""
+    own = F.col(f"_{next(at)}")
+    if not isinstance(kind, T.StructType):
+        return own
+    return F.when(~own, F.struct(*(_rebuilt(f.dataType, at).alias(f.name) for f in kind.fields)))
+
+
 def distinct_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records once each by file id, and the file ids that name different records."""
     keyed = with_file_id(records)
-    whole = keyed.withColumn("_record", F.sha2(F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"}), 256))
-    grouped = whole.groupBy("file_id").agg(F.count_distinct("_record").alias("versions"))
-    once = whole.dropDuplicates(["file_id", "_record"]).drop("_record")
+    digest = F.unhex(F.sha2(F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"}), 256))
+    grouped = keyed.withColumn("_record", digest).groupBy("file_id").agg(F.count_distinct("_record").alias("versions"))
+    # a digest has one record, hence one file; the fields of a struct go apart through the shuffle, so unread ones stay behind
+    flat = records.select(F.substring(digest, 1, 16).alias("_record"), *(c.alias(f"_{i}") for i, c in enumerate(_leaves(records.schema))))
+    dealt = flat.repartition("_record").dropDuplicates(["_record"])
+    at = iter(range(len(flat.columns)))
+    once = with_file_id(dealt.select(*(_rebuilt(f.dataType, at).alias(f.name) for f in records.schema.fields)))
     return once, grouped.filter("versions > 1")
 
 
